@@ -78,7 +78,7 @@ def template_tree(pages: DataFrame) -> DataFrame:
         at = known.withColumn("seg", F.get("cur", F.lit(level - 1))).withColumn("prefix", F.array_join(F.slice("cur", 1, level - 1), "/"))
         children = at.where("seg is not null").groupBy("host", "prefix", "seg").agg(F.sum("n").alias("c"))
         nodes = children.groupBy("host", "prefix").agg(F.sum("c").alias("total"))
-        fair = (F.col("c") >= MIN_PAGES) & (F.col("c") >= MIN_SHARE * F.col("total"))
+        fair = F.col("seg").isin("<num>", "<hex>", "<date>") | (F.col("c") >= MIN_PAGES) & (F.col("c") >= MIN_SHARE * F.col("total"))
         literal = materialize(children.join(nodes, ["host", "prefix"]).where(fair).select("host", "prefix", "seg", F.lit(True).alias("stays")), "literals")
         replaced = F.transform("cur", lambda s, i: F.when((i == level - 1) & F.col("stays").isNull(), F.lit("*")).otherwise(s))
         known = materialize(at.join(sized(literal), ["host", "prefix", "seg"], "left").select("host", "pre", "n", "m", "b", replaced.alias("cur")), "paths")
@@ -112,7 +112,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, label_key: Column, rules: li
 
     labels (doc_id, quality, toxic): a page is bad if its label has quality 0 or toxic 1; label_key gives its doc_id
     from the column path. Several labels of one doc_id: bad if one is. purity is the template's share of good labelled
-    pages, smoothed towards its host's, and that towards the whole table's; 1 without any label. A null url, or one
+    pages, smoothed towards its host's, and that towards the whole table's; a template without a labelled page isn't
+    rejected, whatever its purity. A null url, or one
     without ://, has empty host and path, and the template / of the empty host. Repeated rows stay; extra columns are
     ignored. An empty table gives no rows.
     """
@@ -128,10 +129,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, label_key: Column, rules: li
     base = (all_b or 0) / all_m if all_m else 0.0
     host_rate = (F.col("host_b") + STRENGTH * base) / (F.col("host_m") + STRENGTH)
     rate = (F.col("b") + STRENGTH * host_rate) / (F.col("m") + STRENGTH)
-    tree = materialize(tree.join(by_host, "host").select("host", "pre", "template", F.round(1 - rate, 9).alias("purity")), "judged")
+    tree = materialize(tree.join(by_host, "host").select("host", "pre", "template", F.round(1 - rate, 9).alias("purity"), (F.col("m") > 0).alias("known")), "judged")
     found = slim.join(sized(tree), ["host", "pre"])
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules, 0), rule_of(F.col("host"), F.col("path"), rules, 1)
-    by_method = F.when(F.col("purity") < MIN_PURITY, F.lit("block")).otherwise(F.lit("allow"))
+    by_method = F.when(F.col("known") & (F.col("purity") < MIN_PURITY), F.lit("block")).otherwise(F.lit("allow"))
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "template", "purity")
 
 

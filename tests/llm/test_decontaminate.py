@@ -1,0 +1,76 @@
+"""Containment search against brute force on random texts, edges, and the stage."""
+
+import random
+import re
+
+from plyforge.llm import decontaminate
+from tests.conftest import SF
+
+
+def shingles(text):
+    w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(docs, items):
+    out = set()
+    for d, t in docs:
+        for i, u in items:
+            a, b = shingles(t), shingles(u)
+            if b and 5 * len(a & b) >= 4 * len(b):
+                out.add((d, i, len(b), len(a & b)))
+    return out
+
+
+def ours(spark, docs, items):
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    a, b = a.selectExpr("*", "1 as h", "2 as w", "3 as item_id"), b.selectExpr("*", "1 as h", "2 as n")
+    return {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.contained_items(a, b).collect()}
+
+
+def test_random_texts(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["alpha", "beta", "Gamma", "delta", "eps", "zeta9", "é"]) + rng.choice("abcdefgh")
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 60)))) for i in range(40)]
+    docs = []
+    for d in range(120):
+        w = [word() for _ in range(rng.randint(0, 300))]
+        if rng.random() < 0.7:
+            passage = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                passage[rng.randrange(len(passage))] = word()
+            cut = rng.randint(0, len(w))
+            half = rng.randint(0, len(passage)) if rng.random() < 0.3 else len(passage)
+            w = w[:cut] + passage[:half] + [word()] * (half < len(passage)) + passage[half:] + w[cut:]
+        docs.append((d, rng.choice([" ", "\n", ", "]).join(w)))
+    want = brute(docs, items)
+    assert len(want) > 20
+    assert ours(spark, docs, items) == want
+
+
+def test_edges(spark):
+    docs = [(1, None), (2, ""), (3, "?!"), (4, "one two"), (None, "One, TWO"), (5, "one two three"), (6, "one two three four five six " * 5000), (4, "other"), (4, "one two")]
+    items = [(1, "one two"), (2, None), (3, ""), (4, "--"), (5, "One two three four five six"), (None, "one two three four five")]
+    assert ours(spark, docs, items) == brute(docs, items)
+    assert ours(spark, docs, []) == set() and ours(spark, [], items) == set()
+
+
+def test_large_candidate_sets_are_joined_without_broadcast(spark, monkeypatch):
+    from plyforge.llm import common
+
+    monkeypatch.setattr(common.sized, "__defaults__", (0,))
+    test_random_texts(spark)
+
+
+def test_stage_drops_what_the_query_finds(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    bad = {r.doc_id for r in decontaminate.op9_benchmark_decontamination(spark, d).collect()}
+    left = decontaminate.drop_contaminated(spark, docs, d)
+    assert left.columns == docs.columns and bad
+    assert {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect()} - bad
+
+
+def test_no_python_in_the_plan(spark):
+    plan = decontaminate.op9_benchmark_decontamination(spark, SF)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|InArrow", plan)

@@ -1,0 +1,102 @@
+"""CRF quality rules: base figures against a plain count, decoding against enumeration, edges."""
+
+import itertools
+import re
+
+import numpy as np
+import pytest
+
+from plyforge.llm import quality
+from tests.conftest import SF
+
+SCHEMA = "doc_id long, text string"
+
+
+def plain(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    inside = set()
+    for i, g in enumerate(grams):
+        if grams.count(g) > 1:
+            inside |= {i, i + 1, i + 2}
+    dups, seen = 0, set()
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dups += line in seen
+            seen.add(line)
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dups, len(inside), n < 50 or 100 * len(inside) > 50 * n
+
+
+EDGES = [None, "", " \n\t\r\x0b\x0c", "a", "a b c a b c", "a a a a", "x\x1cy z é", "é#*$%&|<>\n\né\né", "w " * 200, "\n".join(["same line here"] * 30), "word" * 50_000]
+
+
+def test_base_figures_equal_plain_count(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect() if len(r.text) < 20_000}
+    got = {r.doc_id: r for r in quality.op1_crf_quality(spark, SF).collect()}
+    assert len(got) == docs.count()
+    for d, t in texts.items():
+        r = got[d]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain(t)
+        assert not (r.kept and r.base_failed)
+
+
+def test_edges(spark):
+    rows = [(i, t) for i, t in enumerate(EDGES)] + [(None, "x"), (1, "a"), (1, "a")]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as kept", "2 as text_hash")
+    got = quality.judge(docs, quality.DEFAULT).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id != 1}
+    for i, t in enumerate(EDGES):
+        if i != 1:
+            assert tuple(by[i])[1:7] == plain(t)
+            assert (by[i].content_share is None) == (by[i].n_words == 0)
+    assert quality.judge(docs.limit(0), quality.DEFAULT).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_decoding_equals_enumeration(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.array([3, 0, 1, 5, 2, 5])
+    scores, step = rng.normal(size=(lengths.sum(), 2)), rng.normal(size=(2, 2))
+    got, (p, pairs) = quality.viterbi(scores, lengths, step), quality.marginals(scores, lengths, step)
+    at, want_pairs = 0, np.zeros((2, 2))
+    for n in lengths:
+        paths = list(itertools.product([0, 1], repeat=int(n)))
+        value = [sum(scores[at + i, y] for i, y in enumerate(q)) + sum(step[a, b] for a, b in zip(q, q[1:])) for q in paths]
+        assert tuple(got[at : at + n]) == paths[int(np.argmax(value))]
+        w = np.exp(np.array(value) - max(value))
+        w /= w.sum()
+        for i in range(n):
+            assert p[at + i, 1] == pytest.approx(sum(x for x, q in zip(w, paths) if q[i] == 1))
+        for x, q in zip(w, paths):
+            for a, b in zip(q, q[1:]):
+                want_pairs[a, b] += x
+        at += n
+    assert pairs == pytest.approx(want_pairs)
+
+
+def test_learned_model_separates_held_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.train(docs, labels.where("doc_id % 2 = 0"))
+    got = quality.judge(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").collect()
+    good, bad = [r.kept for r in got if r.quality == 1], [r.kept for r in got if r.quality == 0]
+    assert len(good) > 100 and len(bad) > 5
+    assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.1
+
+
+def test_no_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert quality.train(docs, labels.limit(0)) == quality.DEFAULT
+    assert quality.train(docs.limit(0), labels) == quality.DEFAULT
+
+
+def test_stage_agrees_with_operator(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in quality.op1_crf_quality(spark, SF).collect() if r.kept}
+    out = quality.quality_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert {r.doc_id for r in out.collect()} == kept
