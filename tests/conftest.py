@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
 
     where = tmp_path_factory.mktemp("spark")
     session = build_session(
-        "tests", "local[8]", 8,
+        "tests", "local[" + os.environ.get("TEST_CPUS", "8") + "]", 8,
         spark__ui__enabled="false", spark__sql__warehouse__dir=str(where / "warehouse"), spark__checkpoint__dir=f"file://{where}/checkpoint",
         spark__driver__memory="4g", spark__ui__showConsoleProgress="false",
     )
