@@ -1,0 +1,96 @@
+"""Replay: known games and positions, perft-like counts by brute force over all notations, illegal moves."""
+
+import pytest
+
+from plyforge.operators.board import Board, novel_plies, replayed
+
+
+def play(text, fen=None):
+    b = Board(fen) if fen else Board()
+    for san in text.split():
+        assert b.push(san), san
+    return b
+
+
+@pytest.mark.parametrize(
+    ("moves", "fen"),
+    [
+        ("e4", "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq - 0 1"),
+        ("e4 c5 Nf3", "rnbqkbnr/pp1ppppp/8/2p5/4P3/5N2/PPPP1PPP/RNBQKB1R b KQkq - 1 2"),
+        ("e4 e5 Nf3 Nc6 Bb5 a6 Ba4 Nf6 O-O", "r1bqkb1r/1ppp1ppp/p1n2n2/4p3/B3P3/5N2/PPPP1PPP/RNBQ1RK1 b kq - 3 5"),
+        ("e4 a6 e5 d5", "rnbqkbnr/1pp1pppp/p7/3pP3/8/8/PPPP1PPP/RNBQKBNR w KQkq d6 0 3"),
+        ("e4 a6 e5 d5 exd6", "rnbqkbnr/1pp1pppp/p2P4/8/8/8/PPPP1PPP/RNBQKBNR b KQkq - 0 3"),
+        ("f3 e5 g4 Qh4#", "rnb1kbnr/pppp1ppp/8/4p3/6Pq/5P2/PPPPP2P/RNBQKBNR w KQkq - 1 3"),
+        ("d4 d5 Nc3 Nc6 Bf4 Bf5 Qd2 Qd7 O-O-O O-O-O", "2kr1bnr/pppqpppp/2n5/3p1b2/3P1B2/2N5/PPPQPPPP/2KR1BNR w - - 8 6"),
+    ],
+)
+def test_positions(moves, fen):
+    assert play(moves).fen() == fen
+
+
+def test_disambiguation_promotion_and_pins():
+    b = Board("4k3/P7/8/8/8/8/8/R3K2R w KQ - 0 1")
+    assert b.push("a8=Q+") and b.at[56] == "Q"
+    b = Board("4k3/8/8/8/8/8/4K3/R6R w - - 0 1")
+    assert not Board(b.fen()).push("Rd1") and b.push("Rad1")
+    pinned = Board("4r1k1/8/8/8/8/8/4N3/4K3 w - - 0 1")
+    assert not pinned.push("Nc3")
+    two = Board("4r1k1/8/8/8/N7/8/4N3/4K3 w - - 0 1")  # of two knights only the free one can
+    assert two.push("Nc3") and two.at[18] == "N" and two.at[12] == "N"
+    through_check = Board("4k3/8/8/8/8/8/5r2/4K2R w K - 0 1")
+    assert not through_check.push("O-O")
+    assert not Board().push("e5") and not Board().push("zz") and not Board("4k3/P7/8/8/8/8/8/4K3 w - - 0 1").push("a8")
+
+
+def moves(b):
+    """All legal notations, fully disambiguated where needed, by trying every one."""
+    out = set()
+    for castle in ("O-O", "O-O-O"):
+        out |= {castle} if Board(b.fen()).push(castle) else set()
+    for a, p in enumerate(b.at):
+        if p and p.isupper() == b.white:
+            for to in range(64):
+                name = "abcdefgh"[a % 8] + str(a // 8 + 1), "abcdefgh"[to % 8] + str(to // 8 + 1)
+                for promo in ("=Q", "=R", "=B", "=N") if p.upper() == "P" and to // 8 in (0, 7) else ("",):
+                    san = ("" if p.upper() == "P" else p.upper()) + name[0] + name[1] + promo
+                    if Board(b.fen()).push(san):
+                        out.add(san)
+    return out
+
+
+@pytest.mark.parametrize(
+    ("fen", "counts"),
+    [
+        ("rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1", [20, 400]),
+        ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", [48]),
+        ("8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1", [14, 191]),
+        ("r3k2r/Pppp1ppp/1b3nbN/nP6/BBP1P3/q4N2/Pp1P2PP/R2Q1RK1 w kq - 0 1", [6]),
+    ],
+)
+def test_move_counts(fen, counts):
+    level = [fen]
+    for n in counts:
+        after = []
+        for f in level:
+            b = Board(f)
+            for san in moves(b):
+                c = Board(b.fen())
+                c.push(san)
+                after.append(c.fen())
+        assert len(after) == n
+        level = after
+
+
+def test_replay(spark):
+    games = spark.createDataFrame([(1, "e4 e5 Nf3"), (2, "e4 e5 Ke3 Nf6"), (3, None), (4, "")], "game_id long, moves string")
+    rows = sorted(replayed(games).collect())
+    assert [(r.game_id, r.ply, r.legal) for r in rows] == [(1, 0, True), (1, 1, True), (1, 2, True), (2, 0, True), (2, 1, True), (2, 2, False)]
+    assert rows[2].fen == "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq -"
+    assert replayed(games, limit=1).count() == 2
+
+
+def test_novel_plies(spark):
+    games = spark.createDataFrame([(1, "e4 e5 Nf3"), (2, "e4 e5 Nc3 Nc6"), (3, "e4 e5 Nf3 Nf6")], "game_id long, moves string")
+    ids = lambda *g: spark.createDataFrame([(x,) for x in g], "game_id long")
+    got = novel_plies(games, ids(1), ids(2, 3)).collect()
+    assert sorted((r.game_id, r.n, r.plies) for r in got) == [(2, 1, [3]), (3, 1, [3])]
