@@ -66,13 +66,14 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
     which = candidates.select("doc_id", "doc_id_text").distinct()
     again = doc_words.join(sized(which), doc_words["doc_id"].eqNullSafe(which["doc_id"]) & (doc_words["doc_id_text"] == which["doc_id_text"]), "left_semi")
-    doc_shingles = again.dropDuplicates(["doc_id", "doc_id_text"]).select("doc_id", "doc_id_text", F.explode(F.array_distinct(_strings(shingle))).alias("s"))
+    doc_shingles = again.select("doc_id", "doc_id_text", F.explode(_strings(shingle)).alias("s"))
     item_shingles = item_words.select("item_id", "item_id_text", F.array_distinct(_strings(shingle)).alias("all")).select(
         "item_id", "item_id_text", F.size("all").cast("long").alias("n_item"), F.explode("all").alias("s")
     )
-    shared = doc_shingles.join(sized(materialize(item_shingles, "items")), "s").groupBy("doc_id", "doc_id_text", "item_id", "item_id_text").agg(
-        F.max("n_item").alias("n_item"), F.count("*").alias("n_shared")
-    )
+    pair = ["doc_id", "doc_id_text", "item_id", "item_id_text"]
+    # Only shingles that some item has are shuffled; the distinct takes repeats in a text and repeated rows together.
+    matches = doc_shingles.join(sized(materialize(item_shingles, "items")), "s").select(*pair, "n_item", "s").distinct()
+    shared = matches.groupBy(*pair).agg(F.max("n_item").alias("n_item"), F.count("*").alias("n_shared"))
     # Pairs that share shingles but that the sketches didn't propose are below the threshold by construction.
     c = candidates.select(*(F.col(x).alias(f"c_{x}") for x in candidates.columns))
     kept = shared.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9))).join(
