@@ -33,6 +33,11 @@ TAPS = max(WIDTHS)
 MASK = np.array([[k < w for w in WIDTHS for _ in range(FILTERS)] for k in range(TAPS)], np.float32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of the letter categories (some numerals pass the pattern, but are none)."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def windows(data: bytes) -> np.ndarray:
     """(n, WINDOW + TAPS - 1) bytes: consecutive windows, each with the bytes that its last filters reach into; zeros at the end."""
     n = max(1, -(-len(data) // WINDOW))
@@ -140,7 +145,7 @@ def train(docs: DataFrame, learns, sample: int = SAMPLE) -> tuple[list[str], dic
     rng = np.random.default_rng(11)
     x, y = [], []
     for text, lang in zip(got.text, got.lang, strict=True):
-        if LETTER.search(text):
+        if has_letter(text):
             w = windows(text.encode("utf-8", "surrogatepass"))
             w = w[rng.permutation(len(w))[:SAMPLE_WINDOWS]]
             x.append(w)
@@ -172,7 +177,7 @@ def identify(docs: DataFrame, names: list[str], par: dict | None) -> DataFrame:
             size = 0
             for i, t in enumerate(batch.column(1)):
                 text = t.as_py()
-                if not network or not text or not LETTER.search(text):
+                if not network or not text or not has_letter(text):
                     continue
                 data = text.encode("utf-8", "surrogatepass")
                 w, share = windows(data), np.minimum(WINDOW, len(data) - np.arange(0, len(data), WINDOW))

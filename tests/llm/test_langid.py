@@ -55,7 +55,7 @@ def test_held_out_accuracy(spark):
 
 def test_edges(spark, learned):
     names, par = learned
-    rows = [(1, None), (2, ""), (3, "123 !? _"), (None, "the and of"), (4, "the and of " * 200_000), (4, "the"), (4, "the")]
+    rows = [(1, None), (2, ""), (3, "123 !? _ ²½Ⅷ"), (None, "the and of"), (4, "the and of " * 200_000), (4, "the"), (4, "the")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as lang_pred", "2 as score")
     got = langid.identify(docs, names, par).collect()
     assert len(got) == len(rows) and {(r.lang_pred, r.score) for r in got if r.doc_id in (1, 2, 3)} == {("und", 0.0)}
