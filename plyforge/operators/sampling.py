@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hash digits that make a cell: 16 ** CELL_DIGITS cells.
-CELL_DIGITS = 2
+CELL_DIGITS = 3
+#: Ranges of the order column that ranks are taken in.
+RANGES = 64
 
 
 def random_key(seed: int, *columns: str) -> Column:
@@ -28,13 +30,37 @@ def global_rank(df: DataFrame, key: str, alias: str = "rank", digits: int = CELL
     return ranked.join(F.broadcast(cells), "__cell").withColumn(alias, (F.col("__before") + F.col("__i")).cast("long")).drop("__cell", "__before", "__i")
 
 
+def ranked_within(df: DataFrame, partition: list[str], order: list[str], alias: str, ranges: int = RANGES) -> DataFrame:
+    """df with alias: each row's place (from 0) in its partition, by order.
+
+    Where the first order column is a number or a time, partitions are cut into ranges at its quantiles, so that a
+    partition that holds much of the table is ranked by several tasks; the quantiles only decide who does the work.
+    """
+    first = df.schema[order[0]].dataType.typeName()
+    if first not in ("byte", "short", "integer", "long", "float", "double", "timestamp", "date"):
+        w = (Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))).orderBy(*order)
+        return df.withColumn(alias, (F.row_number().over(w) - 1).cast("long"))
+    number = (F.col(order[0]).cast("timestamp") if first == "date" else F.col(order[0])).cast("double")
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = df.agg(F.percentile_approx(number, shares, 1000)).first()[0] or []  # ranges - 1 numbers
+    marks = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
+    celled = df.withColumn("__cell", F.coalesce(F.size(F.filter(marks, lambda b: b <= number)), F.lit(0)))
+    counts = celled.groupBy(*partition, "__cell").agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
+    before = whole.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # at most ranges rows
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*partition, "__cell").orderBy(*order)
+    placed = celled.withColumn("__place", F.row_number().over(inside) - 1).join(counts, [*partition, "__cell"])
+    return placed.withColumn(alias, (F.col("__before") + F.col("__place")).cast("long")).drop("__cell", "__before", "__place")
+
+
 def oversampled(df: DataFrame, quotas: DataFrame, bucket: str, order: list[str]) -> DataFrame:
     """df's rows with copy (from 0) and turn: row i of a bucket of n rows is copied until the bucket's quota is met.
 
     quotas (bucket, n, quota). turn is the copy's place in its bucket's cyclic sequence; ordering by (turn, bucket)
     gives the round robin over buckets. Rows of buckets without a quota are dropped.
     """
-    ranked = df.withColumn("i", (F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) - 1).cast("long"))
+    ranked = ranked_within(df, [bucket], order, "i")
     told = ranked.join(F.broadcast(quotas), bucket).where("i < quota")
     copies = told.withColumn("copy", F.explode(F.expr("sequence(0L, (quota - 1 - i) div n)")))
     return copies.withColumn("turn", F.col("copy") * F.col("n") + F.col("i")).drop("n", "quota", "i")
@@ -58,7 +84,7 @@ def chunk_split(df: DataFrame, file: str, order: list[str], seed: int = 42, vali
     if not (0 <= valid <= 1 and 0 <= test <= 1 and valid + test <= 1):
         raise ValueError("valid and test must be shares")
     sizes = df.groupBy(file).agg(F.greatest(F.lit(1), F.expr(f"count(*) div {chunks}")).cast("long").alias("__size"))
-    ranked = df.withColumn("__i", F.row_number().over(Window.partitionBy(file).orderBy(*order)) - 1).join(F.broadcast(sizes), file)
+    ranked = ranked_within(df, [file], order, "__i").join(F.broadcast(sizes), file)  # a row a file
     ranked = ranked.withColumn("chunk", F.expr("__i div __size").cast("long"))
     draw = F.conv(F.substring(random_key(seed, file, "chunk"), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     split = F.when(draw < valid, "val").when(draw < valid + test, "test").otherwise("train")
@@ -69,15 +95,14 @@ def rank_shard(df: DataFrame, order: list[str], world: int, partition: list[str]
     """df with shard: n div world consecutive rows for each rank, the remainder dropped; within partition, if given."""
     keys = partition or []
     sizes = df.groupBy(*keys).agg(F.expr(f"count(*) div {world}").cast("long").alias("__each"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
-    ranked = df.withColumn("__i", (F.row_number().over(w) - 1).cast("long"))
+    ranked = ranked_within(df, keys, order, "__i")
     told = ranked.join(F.broadcast(sizes), keys if keys else F.lit(True))
     return told.where(F.col("__i") < F.col("__each") * world).withColumn("shard", F.expr("__i div __each").cast("long")).drop("__i", "__each")
 
 
 def padded(df: DataFrame, ids: str, order: list[str], batch: int, group: list[str], filler: int) -> DataFrame:
     """df with batch and ids padded by filler to its batch's longest; batches of consecutive rows within group."""
-    ranked = df.withColumn("batch", F.expr(f"(row_number() over (partition by {', '.join(group)} order by {', '.join(order)}) - 1) div {batch}").cast("long"))
+    ranked = ranked_within(df, group, order, "__i").withColumn("batch", F.expr(f"__i div {batch}").cast("long")).drop("__i")
     width = F.max(F.size(ids)).over(Window.partitionBy(*group, "batch"))
     filled = F.concat(F.col(ids), F.array_repeat(F.lit(filler), (width - F.size(ids)).cast("int")))
     return ranked.withColumn("width", width.cast("long")).withColumn(ids, filled)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyforge.functions import parse, scores, tokens
-from plyforge.operators import buckets, evaluation, sampling, sequences
+from plyforge.operators import board, buckets, evaluation, sampling, sequences
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -802,3 +802,18 @@ def ledger_totals(spark, d):
     per = orders.groupBy("o_custkey").agg(F.count("*").alias("games")).agg(F.count("*").alias("files"), F.sum("games").alias("games"))
     total = customers.agg(F.count("*").alias("total"))
     return per.join(F.broadcast(total), F.lit(True)).select("files", "games", F.round(F.col("files") / F.col("total"), 9).alias("share"))
+
+
+# ---------------------------------------------------------------- replayed games (no SQL: moves are played on a board)
+
+
+@query()
+def replay_plies(spark, d):
+    return board.replayed(games(spark, d), "o_orderkey", "moves", 20)
+
+
+@query()
+def novel_board_positions(spark, d):
+    g = games(spark, d).select("o_orderkey", "moves")
+    train, test = (g.where(f"o_orderkey % 10 {c}").select("o_orderkey") for c in ("= 0", "= 1"))
+    return board.novel_plies(g, train, test, "o_orderkey").select("o_orderkey", "n", joined(F.col("plies")).alias("plies"))
