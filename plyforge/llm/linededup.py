@@ -25,6 +25,7 @@ MAX_EDITS = 2
 MIN_CHARS = 20
 #: Code points whose prefix sums are held together; a longer text is a group of its own.
 TOGETHER = 1_000_000
+BLANK = "\x20\t\n\x0b\x0c\r"
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -51,8 +52,14 @@ def segments(length: np.ndarray, i: int, edits: int = MAX_EDITS) -> tuple[np.nda
 
 
 def line_ids(lines: list[str]) -> np.ndarray:
-    """A line's identity: the 64-bit hash of its UTF-8 text."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines))
+    """A line's identity: the 64-bit hash of its UTF-8 text, the same as that of Spark's xxhash64."""
+    return np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines), np.uint64, len(lines))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, text, id): the lines of docs (doc_id, text) with a word, numbered from 0 with the others."""
+    every = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return every.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.xxhash64("text"))
 
 
 class Prefixes:
@@ -99,52 +106,38 @@ def probe_keys(p: Prefixes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(keys)
 
 
-def _grouped(texts: Iterator[tuple[int | None, str | None]]) -> Iterator[tuple[list[int | None], list[int], list[str]]]:
-    """Lines with their documents and numbers, some TOGETHER code points at a time."""
-    docs, numbers, lines, size = [], [], [], 0
-    for doc, text in texts:
-        for k, line in enumerate(text.split("\n") if text is not None else []):
-            if not line or line.isspace():
-                continue
-            docs.append(doc)
-            numbers.append(k)
-            lines.append(line)
-            size += len(line)
-            if size >= TOGETHER:
-                yield docs, numbers, lines
-                docs, numbers, lines, size = [], [], [], 0
+def _grouped(texts: Iterator[str | None]) -> Iterator[list[str]]:
+    """The different lines of MIN_CHARS or more with a word, of some TOGETHER code points of lines at a time."""
+    lines: dict[str, None] = {}
+    size = 0
+    for text in texts:
+        for line in text.split("\n") if text else ():
+            if len(line) >= MIN_CHARS and line not in lines and line.strip(BLANK):
+                lines[line] = None
+                size += len(line)
+                if size >= TOGETHER:
+                    yield list(lines)
+                    lines, size = {}, 0
     if lines:
-        yield docs, numbers, lines
-
-
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
-    return ((d.as_py(), t.as_py()) for d, t in zip(batch.column(0), batch.column(1)))
+        yield list(lines)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for docs, numbers, lines in _grouped(_rows(batch)):
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), _signed(line_ids(lines))], ["doc_id", "line", "id"])
-
-
 def _keyed(docs: DataFrame, keys_of, id_name: str, signature: str) -> DataFrame:
     """(key, id, signature) of the distinct lines of MIN_CHARS or more, hash-partitioned by key."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, lines in _grouped(_rows(batch)):
-                lines = [x for x in dict.fromkeys(lines) if len(x) >= MIN_CHARS]
-                if lines:
-                    ids, prefixes = line_ids(lines), Prefixes(lines)
-                    index, keys = keys_of(prefixes)
-                    yield pa.RecordBatch.from_arrays([_signed(keys), _signed(ids[index]), _signed(prefixes.signature[index])], ["key", id_name, signature])
+            for lines in _grouped(t.as_py() for t in batch.column(0)):
+                ids, prefixes = line_ids(lines), Prefixes(lines)
+                index, keys = keys_of(prefixes)
+                yield pa.RecordBatch.from_arrays([_signed(keys), _signed(ids[index]), _signed(prefixes.signature[index])], ["key", id_name, signature])
 
     # One shuffle serves both the distinct and the join; repeats inside a batch are gone before it.
-    return docs.mapInArrow(rows, f"key long, {id_name} long, {signature} long").repartition("key").distinct()
+    return docs.select("text").mapInArrow(rows, f"key long, {id_name} long, {signature} long").repartition("key").distinct()
 
 
 def edit_distance(a: str, b: str, most: int = MAX_EDITS) -> int:
@@ -208,18 +201,7 @@ def near_lines(docs: DataFrame) -> DataFrame:
     pairs = materialize(pairs, "line-pairs")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
 
-    def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, lines in _grouped(_rows(batch)):
-                lines = list(dict.fromkeys(lines))
-                ids = line_ids(lines)
-                use = range(len(lines)) if some is None else np.flatnonzero(np.isin(ids.view(np.int64), some.value))
-                yield pa.RecordBatch.from_arrays([_signed(ids[list(use)]), pa.array([lines[i] for i in use], pa.string())], ["id", "line"])
-
-    spark = docs.sparkSession
-    few = wanted.count() <= 1_000_000  # 8 MB of ids; beyond that all lines go to the join
-    some = spark.sparkContext.broadcast(np.sort(np.array([r.id for r in wanted.collect()], np.int64))) if few else None
-    texts = docs.mapInArrow(lines_of, "id long, line string").dropDuplicates(["id"]).join(wanted, "id")
+    texts = lines_of(docs).select("id", F.col("text").alias("line")).join(sized(wanted), "id", "left_semi").dropDuplicates(["id"])
     texts = materialize(texts, "line-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
@@ -228,7 +210,7 @@ def near_lines(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, dropped, n_linked) of each doc_id of docs (doc_id, text).
 
-    Lines are the \\n-separated parts of a text that hold more than white space. Lines within MAX_EDITS edits, at
+    Lines are the \\n-separated parts of a text that hold more than ASCII's white space. Lines within MAX_EDITS edits, at
     least MIN_CHARS long, are linked, and equal lines of any length; classes follow links. Of a class the line with
     the least (doc_id, number) stays and the others are dropped: dropped lists their numbers, from 0 and blank lines
     included in the count. n_linked counts the document's lines that are linked to a different text. Null texts have no
@@ -236,7 +218,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     in it as several.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = materialize(slim.mapInArrow(_occurrences, "doc_id long, line int, id long"), "lines")
+    lines = materialize(lines_of(slim).select("doc_id", "line", "id"), "lines")
     links = materialize(near_lines(slim), "links")
     roots = materialize(components(links, "lines"), "line-classes").withColumnRenamed("root", "class")
     of = lines.join(sized(roots), "id", "left").select("doc_id", "line", F.col("class").isNotNull().alias("linked"), F.coalesce("class", "id").alias("class"))

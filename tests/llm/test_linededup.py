@@ -42,7 +42,7 @@ def test_edit_distance(most):
 
 def brute(docs):
     """(doc_id, n_lines, n_dropped, dropped, n_linked) by comparing all lines with each other."""
-    lines = sorted((d if d is not None else -1, k, x) for d, t in docs for k, x in enumerate((t or "").split("\n")) if x and not x.isspace())
+    lines = sorted((d if d is not None else -1, k, x) for d, t in docs for k, x in enumerate((t or "").split("\n")) if x.strip(ld.BLANK))
     texts = sorted({x for _, _, x in lines})
     root = {x: x for x in texts}
 
@@ -96,7 +96,7 @@ def test_edges(spark):
 def test_query_equals_brute_force_on_a_fixture(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     assert {r.doc_id: r.n_lines for r in ld.op7_segment_edit_lines(spark, SF).collect()} == {
-        r.doc_id: sum(1 for x in r.text.split("\n") if x and not x.isspace()) for r in docs.collect()
+        r.doc_id: sum(1 for x in r.text.split("\n") if x.strip(ld.BLANK)) for r in docs.collect()
     }
     some = [(r.doc_id, r.text) for r in docs.collect() if len(r.text) < 1500]
     assert ours(spark.createDataFrame(some, "doc_id long, text string")) == brute(some)
