@@ -64,9 +64,11 @@ def pfair(counts: dict[str, int]) -> list[tuple[str, int]]:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, cycle: int = CYCLE) -> DataFrame:
-    """(doc_id, source, text_hash, size, block, slot, position) of each row of docs (doc_id, text, source).
+    """(doc_id, source, text_hash, size, block, slot, position, on_target) of each row of docs (doc_id, text, source).
 
     position (from 0, gapless) is the row's place in the mix. A row is in the block in which its first byte falls.
+    on_target: no source (the smallest beyond MAX_SOURCES count as one) has run out before the row's slot; who wants
+    the targets to hold for the whole mix takes these rows only.
     weights: targets by source; sources that it lacks share the weight of the least. None: byte shares to the power
     TEMPER. Every row is used once: when a source runs out, the others go on in proportion. A null source counts as
     the empty name. Equal rows are ordered arbitrarily among themselves. No rows: no rows.
@@ -109,7 +111,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: i
     rows = rows.withColumn("k", F.expr("block % per_cycle")).withColumn("turn", F.expr("block div per_cycle")).drop("per_cycle", "cells", "cell_start")
     plan = plan.drop("per_cycle")
     placed = rows.join(F.broadcast(plan), ["stratum", "k"])  # as many rows as the cycle has slots
-    placed = materialize(placed.select("doc_id", "source", "text_hash", "size", "block", "turn", "t", "start"), "placed")
+    placed = materialize(placed.select("doc_id", "source", "stratum", "text_hash", "size", "block", "turn", "t", "start"), "placed")
 
     # Positions: rows of the cycles before, of the slots before in the cycle, and before in the slot.
     per_slot = placed.groupBy("turn", "t").agg(F.count("*").alias("n"))
@@ -118,10 +120,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: i
     per_turn = per_turn.select("turn", before(Window.orderBy("turn")).alias("turn_rows"))  # a row for cycle * block_bytes of input
     per_slot = per_slot.select("turn", "t", before(Window.partitionBy("turn").orderBy("t")).alias("slot_rows")).join(per_turn, "turn")
     inside = F.row_number().over(Window.partitionBy("turn", "t").orderBy("start", "doc_id", "text_hash")) - 1
+    slot = F.col("turn") * cycle + F.col("t")
+    full = placed.groupBy("stratum").agg(F.max(slot).alias("last")).agg(F.min("last")).first()[0]  # one number
     out = placed.withColumn("i", inside).join(per_slot, ["turn", "t"])
     return out.select(
-        "doc_id", "source", "text_hash", "size", "block", (F.col("turn") * cycle + F.col("t")).alias("slot"),
-        (F.col("turn_rows") + F.col("slot_rows") + F.col("i")).cast("long").alias("position"),
+        "doc_id", "source", "text_hash", "size", "block", slot.alias("slot"),
+        (F.col("turn_rows") + F.col("slot_rows") + F.col("i")).cast("long").alias("position"), (slot <= F.lit(full)).alias("on_target"),
     )
 
 

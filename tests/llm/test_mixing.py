@@ -52,6 +52,7 @@ def test_small_blocks_equal_a_plain_run(spark):
         assert r.slot == r.block // counts[r.source] * q + place[r.source, r.block % counts[r.source]]
         at[r.source] += r["size"]
     both = min(max(r.slot for r in got if r.source == s) for s in "ab")
+    assert all(r.on_target == (r.slot <= both) for r in got)
     blocks = {s: {r.block for r in got if r.source == s and r.slot <= both} for s in "ab"}
     assert abs(len(blocks["b"]) / (both + 1) - 0.75) <= 1 / (both + 1) + 0.02
 
