@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions.parse import bucket_plus, bucket_value
@@ -57,8 +57,8 @@ def bucket_counts(df: DataFrame, bucket: list[str], condition: Column, least: in
 
 def quotas(counts: DataFrame, repeats: int) -> DataFrame:
     """counts with quota: the largest bucket's count, or repeats times the bucket's own if that is less."""
-    most = counts.agg(F.max("n").alias("most"))  # one row
-    return counts.join(F.broadcast(most), F.lit(True)).withColumn("quota", F.least(F.col("most"), F.col("n") * repeats)).drop("most")
+    most = F.max("n").over(Window.partitionBy(F.lit(0)))  # counts has a row a bucket
+    return counts.withColumn("quota", F.least(most, F.col("n") * repeats))
 
 
 def rolled_up(outer: Column, inner: Column, threshold: int) -> tuple[Column, Column]:

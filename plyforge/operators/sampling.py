@@ -71,12 +71,9 @@ def quota_split(df: DataFrame, key: list[str], seed: int = 42, valid: int = 5, t
     if valid < 0 or test < 0 or valid + test >= 100:
         raise ValueError("valid and test must be percentages of which train keeps some")
     ranked = global_rank(df.withColumn("__key", random_key(seed, *key)), "__key", "__rank")
-    n = df.agg(F.count("*").alias("__total"))  # one row
-    told = ranked.join(F.broadcast(n), F.lit(True))
-    split = F.when(F.col("__rank") < F.expr(f"__total * {valid} div 100"), "val").when(
-        F.col("__rank") < F.expr(f"__total * {valid} div 100 + __total * {test} div 100"), "test"
-    )
-    return told.withColumn("split", split.otherwise("train")).drop("__key", "__rank", "__total")
+    n = df.count()
+    split = F.when(F.col("__rank") < n * valid // 100, "val").when(F.col("__rank") < n * valid // 100 + n * test // 100, "test")
+    return ranked.withColumn("split", split.otherwise("train")).drop("__key", "__rank")
 
 
 def chunk_split(df: DataFrame, file: str, order: list[str], seed: int = 42, valid: float = 0.05, test: float = 0.05, chunks: int = 500) -> DataFrame:
@@ -94,10 +91,13 @@ def chunk_split(df: DataFrame, file: str, order: list[str], seed: int = 42, vali
 def rank_shard(df: DataFrame, order: list[str], world: int, partition: list[str] | None = None) -> DataFrame:
     """df with shard: n div world consecutive rows for each rank, the remainder dropped; within partition, if given."""
     keys = partition or []
-    sizes = df.groupBy(*keys).agg(F.expr(f"count(*) div {world}").cast("long").alias("__each"))
     ranked = ranked_within(df, keys, order, "__i")
-    told = ranked.join(F.broadcast(sizes), keys if keys else F.lit(True))
-    return told.where(F.col("__i") < F.col("__each") * world).withColumn("shard", F.expr("__i div __each").cast("long")).drop("__i", "__each")
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.expr(f"count(*) div {world}").cast("long").alias("__each"))
+        ranked = ranked.join(F.broadcast(sizes), keys)  # a row a file
+    else:
+        ranked = ranked.withColumn("__each", F.lit(df.count() // world))
+    return ranked.where(F.col("__i") < F.col("__each") * world).withColumn("shard", F.expr("__i div __each").cast("long")).drop("__i", "__each")
 
 
 def padded(df: DataFrame, ids: str, order: list[str], batch: int, group: list[str], filler: int) -> DataFrame:
