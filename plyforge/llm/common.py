@@ -66,11 +66,12 @@ def drop_table(df: DataFrame) -> None:
 
 
 def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """small with a broadcast hint if its row count, taken here, is within rows; else as it is, for a shuffled join.
+    """small with a broadcast hint if its row count, taken here, is within rows; else with one for a shuffled join.
 
-    small should be a materialized table with a few narrow columns, so that the count is a footer read.
+    small should be a materialized table with a few narrow columns, so that the count is a footer read. Without the
+    second hint Spark might broadcast by the files' size, which says little about rows that compress well.
     """
-    return F.broadcast(small) if small.count() <= rows else small
+    return F.broadcast(small) if small.count() <= rows else small.hint("merge")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

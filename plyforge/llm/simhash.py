@@ -72,7 +72,7 @@ def linked_pairs(fps: DataFrame) -> DataFrame:
         "cell",
     ).select("a", "to", (F.col("to") != F.col("cell")).alias("up"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    pairs = probes.join(filed, (F.col("to") == F.col("cell")) & near & (F.col("up") | (F.col("a") < F.col("b"))))
+    pairs = probes.join(filed.hint("merge"), (F.col("to") == F.col("cell")) & near & (F.col("up") | (F.col("a") < F.col("b"))))
     return pairs.select("a", "b")
 
 
@@ -87,10 +87,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     roots = components(linked_pairs(fps.select("fp")), "simhash")
     # A component's root is a fingerprint; its least document is the least over its fingerprints.
-    rooted = fps.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    # These tables grow with the documents: the hints keep Spark from broadcasting them by their files' size.
+    rooted = fps.join(roots.withColumnRenamed("id", "fp").hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = rooted.join(least.hint("merge"), "root").select("fp", "component_id")
+    return marked.join(of.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,7 +127,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
     folder = table_path(docs.sparkSession, "tokens")
     order = materialize(write_token_files(docs, folder, vocabulary), "token-order")
-    return order.join(scan(order, folder), ["file", "number"]).select("doc_id", "n_tokens", "file", "number", "start")
+    # Both sides have a row a document; the hint keeps Spark from broadcasting the one whose files are small.
+    return order.join(scan(order, folder).hint("merge"), ["file", "number"]).select("doc_id", "n_tokens", "file", "number", "start")
 
 
 def op8_separator_scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
