@@ -29,7 +29,9 @@ def words(text: Column) -> Column:
 
 
 def _hashes(shingle: int) -> Column:
-    return F.expr(f"transform(sequence(1, greatest(size(w) - {shingle - 1}, 1)), i -> xxhash64(slice(w, i, {shingle})))")
+    """A hash of every run of shingle words, or of all words where they are fewer. Elements are read in place: slices would copy."""
+    run = ", ".join(f"w[i + {k}]" for k in range(shingle))
+    return F.expr(f"if(size(w) < {shingle}, array(xxhash64(w)), transform(sequence(0, greatest(size(w) - {shingle}, 0)), i -> xxhash64({run})))")
 
 
 def _strings(shingle: int) -> Column:
