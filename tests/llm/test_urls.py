@@ -1,5 +1,6 @@
 """URL filter: hosts, paths and rules against plain parsing; templates on planted spam; edges."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -72,3 +73,98 @@ def test_planted_templates(spark):
         if "tiny" in u:
             assert of[p].template == "/*/<num>"
     assert {r.template for r in got if r.host == "site.org"} == {"/(blog|news)/<date>/*/<num>", "/(casino|promo)/<date>/*/<num>"}
+
+
+def brute(pages, labels):
+    """(page_id, template, purity, verdict) by plain dictionaries."""
+    bad = {}
+    for d, q, t in labels:
+        bad[d] = max(bad.get(d, 0), int(q == 0 or t == 1))
+    rows = []
+    for p, u in pages:
+        host, path, rule = plain(u)
+        segs = []
+        for s in re.sub(r"^/", "", path).split("/"):
+            if re.fullmatch(r"\d{4}-\d\d?-\d\d?", s):
+                s = "<date>"
+            elif re.fullmatch(r"\d+(\.[A-Za-z]+)?", s):
+                s = re.sub(r"^\d+", "<num>", s)
+            elif re.fullmatch(r"(?=.*\d)[0-9A-Fa-f-]{8,}(\.[A-Za-z]+)?", s):
+                s = re.sub(r"^[0-9A-Fa-f-]+", "<hex>", s)
+            segs.append(s)
+        segs = segs[: urls.LEVELS] + ["**"] * (len(segs) > urls.LEVELS)
+        m = re.search(r"(\d{1,18})\D*$", path)
+        rows.append([p, host, segs, bad.get(int(m[1])) if m else None, rule])
+    depth = max((len(r[2]) for r in rows), default=0)
+    for k in range(depth):
+        child, node = {}, {}
+        for r in rows:
+            if len(r[2]) > k:
+                at = (r[1], tuple(r[2][:k]))
+                child[at, r[2][k]] = child.get((at, r[2][k]), 0) + 1
+                node[at] = node.get(at, 0) + 1
+        for r, at in [(r, (r[1], tuple(r[2][:k]))) for r in rows if len(r[2]) > k]:
+            n = child[at, r[2][k]]
+            if r[2][k] not in ("<num>", "<hex>", "<date>") and not (n >= urls.MIN_PAGES and n >= urls.MIN_SHARE * node[at]):
+                r[2] = [*r[2][:k], "*", *r[2][k + 1 :]]
+    for k in reversed(range(depth)):
+        sums = {}
+        for r in rows:
+            if len(r[2]) > k and not r[2][k].startswith("<") and r[2][k] not in ("*", "**"):
+                s = sums.setdefault((r[1], *r[2][:k], None, *r[2][k + 1 :]), {}).setdefault(r[2][k], [0, 0])
+                s[0] += r[3] is not None
+                s[1] += r[3] or 0
+        union = {}
+        for hole, segs in sums.items():
+            order = sorted(((b + 0.5) / (m + 1), s, m, b) for s, (m, b) in segs.items())
+            groups = [[order[0]]]
+            for x, y in zip(order, order[1:]):
+                p = (x[3] + y[3] + 1) / (x[2] + y[2] + 2)
+                far = y[0] - x[0] > urls.SIMILAR * (p * (1 - p) * (1 / (y[2] + 1) + 1 / (x[2] + 1))) ** 0.5
+                groups.append([y]) if far else groups[-1].append(y)
+            for g in groups:
+                if len(g) > 1:
+                    for _, s, _, _ in g:
+                        union[hole, s] = "(" + "|".join(sorted(s for _, s, _, _ in g)) + ")"
+        for r in rows:
+            if len(r[2]) > k:
+                hole = (r[1], *r[2][:k], None, *r[2][k + 1 :])
+                r[2] = [*r[2][:k], union.get((hole, r[2][k]), r[2][k]), *r[2][k + 1 :]]
+    of, by_host, whole = {}, {}, [0, 0]
+    for r in rows:
+        for s in (of.setdefault((r[1], tuple(r[2])), [0, 0]), by_host.setdefault(r[1], [0, 0]), whole):
+            s[0] += r[3] is not None
+            s[1] += r[3] or 0
+    out = set()
+    for p, host, segs, _, rule in rows:
+        base = whole[1] / whole[0] if whole[0] else 0
+        m, b = of[host, tuple(segs)]
+        h = (by_host[host][1] + urls.STRENGTH * base) / (by_host[host][0] + urls.STRENGTH)
+        purity = round(1 - (b + urls.STRENGTH * h) / (m + urls.STRENGTH), 6)
+        out.add((p, "/" + "/".join(segs), purity, rule[1] if rule else "block" if m and purity < urls.MIN_PURITY else "allow"))
+    return out
+
+
+def test_query_equals_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    pages = [tuple(r) for r in spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    got = {(r.page_id, r.template, round(r.purity, 6), r.verdict) for r in urls.op5_path_template_filter(spark, d).collect()}
+    assert got == brute(pages, labels)
+
+
+def test_random_trees_equal_brute_force(spark):
+    rng = random.Random(4)
+    pages, labels = [], []
+    for i in range(1500):
+        host = rng.choice(["a.org", "a.org", "b.a.org", "c.de"])
+        segs = [rng.choice(["x", "y", "z", "q", f"s{rng.randint(0, 400)}"]) for _ in range(rng.randint(0, 9))]
+        pages.append((i, f"http://{host}/" + "/".join([*segs, str(i)]) + rng.choice(["", "/", ".html"])))
+        if rng.random() < 0.6:
+            labels.append((i, int(rng.random() > (0.9 if "q" in segs[:2] else 0.1)), int(rng.random() < 0.05)))
+    got = urls.judge_urls(
+        spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), urls.last_number(F.col("path"))
+    ).collect()
+    want = brute(pages, labels)
+    assert {(r.page_id, r.template, round(r.purity, 6), r.verdict) for r in got} == want
+    assert {v for *_, v in want} == {"allow", "block"}
