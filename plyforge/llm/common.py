@@ -20,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one is set."""
     sc = spark.sparkContext
-    set_to = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not set_to:
         set_to = f"file://{tempfile.mkdtemp(prefix='plyforge-')}"
         sc.setCheckpointDir(set_to)

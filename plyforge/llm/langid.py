@@ -21,8 +21,10 @@ from plyforge.llm.common import read
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 8, 6
-#: Documents of each language that the network is trained on, about; windows of each; languages it learns at most (the most frequent).
-SAMPLE, SAMPLE_WINDOWS, SAMPLE_CHARS, LANGUAGES = 600, 6, 20_000, 200
+#: Documents of each language that the network is trained on, and of all together, about; windows and code points of each.
+SAMPLE, SAMPLE_ALL, SAMPLE_WINDOWS, SAMPLE_CHARS = 600, 6000, 6, 8_000
+#: Languages that it learns at most (the most frequent).
+LANGUAGES = 200
 EPOCHS, BATCH, RATE = 12, 64, 0.02
 LETTER = re.compile(r"[^\W\d_]")
 #: Windows that go through the network together.
@@ -125,7 +127,7 @@ class Network:
 def train(docs: DataFrame, learns, sample: int = SAMPLE) -> tuple[list[str], dict | None]:
     """The languages and weights, from about sample rows of each lang among those for which learns (a Column) holds.
 
-    Rows are chosen by the hash of their id, or text where it is null. No such row: no languages.
+    Rows are chosen by the hash of their id; many languages get fewer each. No such row: no languages.
     """
     rows = docs.where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
@@ -133,6 +135,7 @@ def train(docs: DataFrame, learns, sample: int = SAMPLE) -> tuple[list[str], dic
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return [], None
+    sample = min(sample, SAMPLE_ALL // len(counts))
     chance = F.lit(0.0)
     for r in counts:
         chance = F.when(F.col("lang") == r.lang, F.lit(min(1.0, sample / r.n))).otherwise(chance)

@@ -23,7 +23,7 @@ from plyforge.llm.common import read
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Documents that the weights are fitted on, at most about, and the code points that each gives to the fit.
-SAMPLE, SAMPLE_CHARS = 4000, 20_000
+SAMPLE, SAMPLE_CHARS = 4000, 8_000
 #: Rounds of message passing, the share of the old message that stays, and the least probability of an added span.
 ROUNDS, DAMPING, SURE = 8, 0.3, 0.9
 

@@ -22,7 +22,7 @@ from plyforge.llm.common import read
 #: Rows of the sample that the model is fitted on, of either quality, at most about.
 SAMPLE = 1500
 #: Lines of a sample document that the fit takes, and code points of the sample's texts; decoding has no such bound.
-SAMPLE_LINES, SAMPLE_CHARS = 64, 50_000
+SAMPLE_LINES, SAMPLE_CHARS = 64, 20_000
 #: Share of a text's words that must be in content lines.
 CONTENT_SHARE = 0.5
 #: Characters that count as symbols, and words that mark a line as a notice or a page's furniture.
