@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one long column (about 16 bytes each with the hash table) that a broadcast may hold.
 BROADCAST_ROWS = 500_000
+#: Bytes of a text whose words are held in Python at a time.
+PIECE_BYTES = 1 << 22
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +52,18 @@ def table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def word_pieces(data: bytes, size: int | None = None) -> Iterator[list[bytes]]:
+    """The words (runs without ASCII white space) of a text's bytes, those of some size bytes at a time."""
+    size, at = size or PIECE_BYTES, 0
+    while len(data) - at > size:
+        cut = BLANK.search(data, at + size)
+        if not cut:
+            break
+        yield data[at : cut.start()].split()
+        at = cut.end()
+    yield (data[at:] if at else data).split()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, and lost executors cost nothing.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.llm.common import read
+from plyforge.llm.common import read, word_pieces
 
 #: Rows of the sample that the model is fitted on, of either quality, at most about.
 SAMPLE = 1500
@@ -28,8 +28,6 @@ CONTENT_SHARE = 0.5
 #: Characters that count as symbols, and words that mark a line as a notice or a page's furniture.
 SYMBOLS = "#*$%&|<>"
 CUES = re.compile(r"(?i)\b(licen[sc]ed?|copyright|rights reserved|cookies?|subscribe|sign up|log ?in|click here|terms of|privacy policy|javascript)\b")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BLANK = re.compile(r"[\x20\x09-\x0D]")
 UPPER, DIGIT, MARK = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[0-9]"), re.compile(r"[!?=_~^]")
 
 FEATURES = ["bias", "symbols", "some symbols", "upper", "digits", "marks", "short", "middling", "unended", "repeated line", "repeated words", "cue", "long words"]
@@ -40,19 +38,17 @@ DEFAULT = {
 }
 
 
-def repeated(words: list[bytes]) -> np.ndarray:
-    """For each word, whether it lies in a 3-word window that the text has twice or more."""
-    n = len(words)
+def repeated(w: np.ndarray, distinct: int) -> np.ndarray:
+    """For each word, given by a number below distinct, whether it lies in a 3-word window that the text has twice or more."""
+    n = len(w)
     out = np.zeros(n, bool)
     if n < 4:
         return out
-    ids: dict[bytes, int] = {}
-    w = np.fromiter((ids.setdefault(x, len(ids)) for x in words), np.int64, n)
-    if len(ids) < 1 << 21:
+    if distinct < 1 << 21:
         key = (w[:-2] << 42) | (w[1:-1] << 21) | w[2:]
     else:
-        seen: dict[tuple, int] = {}
-        key = np.fromiter((seen.setdefault(x, len(seen)) for x in zip(words, words[1:], words[2:])), np.int64, n - 2)
+        pair = np.unique((w[:-1] << 32) | w[1:], return_inverse=True)[1].astype(np.int64)
+        key = (pair[:-1] << 32) | w[2:]
     order = np.argsort(key, kind="stable")
     same = np.flatnonzero(key[order][1:] == key[order][:-1])
     at = np.concatenate((order[same], order[same + 1]))
@@ -64,8 +60,9 @@ def repeated(words: list[bytes]) -> np.ndarray:
 def measure(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.ndarray]:
     """A text's base figures (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), its lines' features and word counts."""
     text = text or ""
-    words = text.encode("utf-8", "surrogatepass").split()  # of bytes: white space is ASCII's
-    again = repeated(words)
+    ids: dict[bytes, int] = {}
+    numbers = [np.fromiter((ids.setdefault(x, len(ids)) for x in words), np.int64, len(words)) for words in word_pieces(text.encode("utf-8", "surrogatepass"))]
+    again = repeated(np.concatenate(numbers), len(ids))
     lines = text.split("\n")
     counts = np.fromiter((len(x.encode("utf-8", "surrogatepass").split()) for x in lines), np.int64, len(lines))
     keep = np.flatnonzero(counts)
@@ -88,7 +85,7 @@ def measure(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarra
             n < 4, 4 <= n < 10, end not in ".!?:\"'", dup, (shares[ends[i + 1]] - shares[ends[i]]) / n, CUES.search(line) is not None, size > 12 * n,
         )
     blanks = sum(map(text.count, "\x20\t\n\x0b\x0c\r"))
-    return (len(words), len(text) - blanks, sum(map(text.count, SYMBOLS)), dups, int(again.sum())), x, counts
+    return (len(again), len(text) - blanks, sum(map(text.count, SYMBOLS)), dups, int(again.sum())), x, counts
 
 
 def base_failed(n_words: int, n_repeat_words: int) -> bool:

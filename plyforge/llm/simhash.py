@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.llm.common import components, materialize, read, sized
+from plyforge.llm.common import components, materialize, read, sized, word_pieces
 
 SEED = 42
 SHINGLE = 3
@@ -29,20 +29,34 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.
 BYTE = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned 64-bit SimHash of a text's word shingles; 0 for a null text or one without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z change, and white space is ASCII's
-    if not words:
-        return 0
+def _votes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """How many of the shingles' hashes have each bit, most significant first."""
+    n = len(words) - shingle + 1
     flat = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    ends = ends[min(shingle, len(words)) - 1 :].tolist()
+    ends = ends[shingle - 1 :].tolist()
     digest = xxhash.xxh64_digest
     hashes = np.frombuffer(b"".join([digest(flat[s:e], seed) for s, e in zip(starts, ends, strict=True)]), np.uint8).reshape(n, 8)
-    votes = np.bincount((hashes + BYTE).ravel(), minlength=2048).reshape(8, 256).astype(np.float64) @ BITS
-    return int.from_bytes(np.packbits(votes.ravel() * 2 > n).tobytes(), "big")
+    return (np.bincount((hashes + BYTE).ravel(), minlength=2048).reshape(8, 256).astype(np.float64) @ BITS).ravel()
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned 64-bit SimHash of a text's word shingles; 0 for a null text or one without words.
+
+    Long texts are taken piece by piece, each with the last words of the one before.
+    """
+    votes, n, last = np.zeros(64), 0, []
+    # Of bytes: only A-Z change case, and white space is ASCII's.
+    for words in word_pieces(text.encode("utf-8", "surrogatepass").lower()) if text else ():
+        last += words
+        if len(last) >= shingle:
+            votes += _votes(last, shingle, seed)
+            n += len(last) - shingle + 1
+            last = last[len(last) - shingle + 1 :]
+    if not n and last:
+        votes, n = _votes(last, len(last), seed), 1
+    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ how many documents end before it and where the open one began, and every documen
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -25,6 +26,9 @@ SEPARATOR = 50256
 #: Fixed value: how the vocabulary's makers cut text into pieces.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 BLOCK_BYTES = 1 << 20
+#: Code points that are encoded together; longer texts are cut where the vocabulary's pieces end in any case.
+TOGETHER = 1_000_000
+SEAM = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 WIDTH = 2
 
 
@@ -44,6 +48,18 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def parts(text: str) -> Iterator[str]:
+    """text in parts of some TOGETHER code points: a space between letters begins a piece, so cuts there change no id."""
+    at = 0
+    while len(text) - at > TOGETHER:
+        seam = SEAM.search(text, at + TOGETHER)
+        if not seam:
+            break
+        yield text[at : seam.start()]
+        at = seam.start()
+    yield text[at:]
+
+
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, separator: int = SEPARATOR) -> DataFrame:
     """(file, number, doc_id): the order of docs (doc_id, text) in the flat files that this writes to folder.
 
@@ -60,8 +76,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
             for batch in batches:
                 out = out or store.open_output_stream(f"{where}/{name}")
                 for t in batch.column(1):
-                    text = t.as_py()
-                    out.write(np.array([*(encode(text) if text else ()), separator], "<u2").tobytes())
+                    for part in parts(t.as_py() or ""):
+                        out.write(np.array(encode(part), "<u2").tobytes())
+                    out.write(np.array([separator], "<u2").tobytes())
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(number, number + n)), batch.column(0)], ["file", "number", "doc_id"])
                 number += n

@@ -100,3 +100,19 @@ def test_stage_agrees_with_operator(spark):
     out = quality.quality_stage(spark, docs, SF)
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == kept
+
+
+def test_pieces_change_nothing(monkeypatch):
+    from plyforge.llm import common
+
+    texts = [t for t in EDGES if t and len(t) < 5000]
+    monkeypatch.setattr(common, "PIECE_BYTES", 5)
+    assert [(*quality.measure(t)[0], quality.base_failed(quality.measure(t)[0][0], quality.measure(t)[0][4])) for t in texts] == [plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_windows_with_many_words(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(300):
+        w = rng.integers(0, 4, rng.integers(0, 30))
+        assert (quality.repeated(w, 4) == quality.repeated(w, 1 << 22)).all()

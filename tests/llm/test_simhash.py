@@ -78,3 +78,14 @@ def test_stage_keeps_one(spark):
     kept = simhash.keep_one(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+
+
+def test_pieces_change_nothing(monkeypatch):
+    from plyforge.llm import common
+
+    texts = ["", "a", "a b", " a b c", "x " * 50 + "yy\x1c\tz", "long" * 40 + " w" * 9, "İ é " * 30]
+    want = [simhash.fingerprint(t) for t in texts]
+    assert want == [plain(t) for t in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(common, "PIECE_BYTES", size)
+        assert [simhash.fingerprint(t) for t in texts] == want

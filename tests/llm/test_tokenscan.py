@@ -39,3 +39,10 @@ def test_edges(spark):
     got = ts.count_tokens(docs).collect()
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(d), len(encode(t or ""))) for d, t in rows)
     assert ts.count_tokens(docs.where(F.lit(False))).count() == 0
+
+
+def test_parts_change_no_id(monkeypatch):
+    encode = ts.encoder(ts.VOCABULARY)
+    monkeypatch.setattr(ts, "TOGETHER", 20)
+    for text in ("plain words go on and on " * 9, "x" * 500, "a  b\n\n c d e f g h i j k l m n o p q r s t", "1 2 3 é à ü " * 20, ""):
+        assert [i for p in ts.parts(text) for i in encode(p)] == encode(text)
