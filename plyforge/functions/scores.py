@@ -57,6 +57,6 @@ def log10_or_null(n: Column) -> Column:
     return F.when(n > 0, F.log10(n))
 
 
-def mean_and_percent(part: Column, whole: Column) -> Column:
+def percent_or_dash(part: Column, whole: Column) -> Column:
     """part / whole as a percentage with one decimal, - where whole is 0."""
     return F.when(whole == 0, F.lit("-")).otherwise(F.format_string("%.1f%%", 100.0 * part / whole))

@@ -62,3 +62,11 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.QUERIES["pair_matrix"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quantity,10.0)" in plan
     assert "l_extendedprice" not in plan and "c_name" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_no_cross_join(spark, name):
+    """Only the range join of indices with bucket starts, a row a bucket, has no equality to join on."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert name == "prefix_locate" or "BroadcastNestedLoopJoin" not in plan
