@@ -100,12 +100,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = materialize(with_fingerprints(docs), "fp")
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     roots = components(linked_pairs(fps.select("fp")), "simhash")
-    # A component's root is a fingerprint; its least document is the least over its fingerprints.
-    # These tables grow with the documents: the hints keep Spark from broadcasting them by their files' size.
-    rooted = fps.join(roots.withColumnRenamed("id", "fp").hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(least.hint("merge"), "root").select("fp", "component_id")
-    return marked.join(of.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    # A component's root is a fingerprint; its least document is the least over its fingerprints. Those without links
+    # aren't in roots: they are components of their own.
+    # These tables grow with the documents: the hints keep Spark from broadcasting them by their files' size. Sides that
+    # meet on a key of a large group are tables of their own, so that adaptive execution can split that key.
+    linked = fps.join(roots.withColumnRenamed("id", "fp").hint("merge"), "fp")
+    least = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    known = materialize(roots.select(F.col("id").alias("fp"), "root").join(sized(least), "root").select("fp", "component_id"), "linked")
+    of = fps.join(known.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return marked.join(materialize(of, "classes").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
