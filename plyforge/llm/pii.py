@@ -105,6 +105,8 @@ FEATURES = [
     "bias", "@", "@ inside", "@ and dotted", "4 numbers", "4 bytes", "1-2 digits", "3-4 digits", "5-6 digits", "7-8 digits", "9-11 digits", "12-19 digits",
     "20 digits", "digits only", "digits and signs", "letters and digits", "plus", "bracket", "luhn", "after plus", "before digits", "= or quote", "ends in stop",
 ]
+#: Digits of an added number in several tokens, at most.
+MOST_DIGITS = {"card": 19, "phone": 15}
 TRIM = ".,;:!?\"'()[]<>"
 
 
@@ -237,24 +239,29 @@ def fit(texts: list[str], steps: int = 200) -> dict:
 
 
 def added_spans(texts: list[str | None], bases: list[list[Span]], model: dict) -> list[list[Span]]:
-    """For each text the spans beyond its base spans: runs of adjacent nodes of one sure label that no base span touches."""
+    """For each text the spans beyond its base spans: nodes of a sure label that no base span touches."""
     graph = Graph(texts)
     p = infer(graph, model)
     label, sure = p.argmax(1), p.max(1) >= SURE
     out: list[list[Span]] = [[] for _ in texts]
+    before = -2  # the node of the last added span
     for i, d in enumerate(graph.doc):
         s, e = graph.span[i]
         if label[i] == 0 or not sure[i] or any(a < e and s < b for _, a, b in bases[d]):
             continue
-        text = texts[d]
+        text, kind = texts[d], KINDS[label[i] - 1]
         while text[s] in TRIM and text[s] != "(" and s + 1 < e:
             s += 1
         while text[e - 1] in TRIM and e - 1 > s:
             e -= 1
-        kind = KINDS[label[i] - 1]
-        if out[d] and out[d][-1][0] == kind and WORDS_BETWEEN.fullmatch(text, out[d][-1][2], s):
-            s = out[d].pop()[1]
+        # A number in several tokens is one span, up to as many digits as its kind has.
+        if before == i - 1 and out[d] and out[d][-1][0] == kind and WORDS_BETWEEN.fullmatch(text, graph.span[i - 1][1], graph.span[i][0]):
+            start = out[d][-1][1]
+            if sum(map(text[start:e].count, "0123456789")) <= MOST_DIGITS.get(kind, 0):
+                out[d].pop()
+                s = start
         out[d].append((kind, s, e))
+        before = i
     return out
 
 

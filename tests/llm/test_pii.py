@@ -79,6 +79,14 @@ def test_repeated_numbers_take_the_label_of_the_distant_one(spark):
     assert pii.added_spans([alone], [pii.base_spans(alone)], model)[0] == []
 
 
+def test_numbers_that_a_greedy_pattern_runs_together(spark):
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    text = "call +1 (884) 555-3918 4665061921147096 or write"
+    assert pii.base_spans(text) == []  # the phone pattern takes both numbers, which is too long
+    added = [(k, text[a:b]) for k, a, b in pii.added_spans([text], [[]], model)[0]]
+    assert added == [("phone", "+1 (884) 555-3918"), ("card", "4665061921147096")]
+
+
 def test_messages_are_exact_on_a_tree():
     g = pii.Graph.__new__(pii.Graph)
     rng = np.random.default_rng(3)
