@@ -162,11 +162,12 @@ class Board:
         self.white = not self.white
 
 
-def replayed(games: DataFrame, game: str = "game_id", moves: str = "moves", limit: int | None = None) -> DataFrame:
+def replayed(games: DataFrame, game: str = "game_id", moves: str = "moves", limit: int | None = None, after: bool = False) -> DataFrame:
     """(game, ply, san, fen, legal): for each move of a game the position before it, without the move counters.
 
-    The first move that can't be made has legal false and ends its game. limit: only the first plies. The key column
-    must be a long. A null move text has no plies.
+    after: the position after it instead, null for a move that can't be made. The first move that can't be made has
+    legal false and ends its game. limit: only the first plies. The key column must be a long. A null move text has no
+    plies.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +178,10 @@ def replayed(games: DataFrame, game: str = "game_id", moves: str = "moves", limi
                 for ply, san in enumerate((text or "").split()):
                     if limit is not None and ply >= limit:
                         break
-                    fen = " ".join(board.fen().split()[:-2])
+                    fen = None if after else " ".join(board.fen().split()[:-2])
                     legal = board.push(san)
+                    if after and legal:
+                        fen = " ".join(board.fen().split()[:-2])
                     out.append((g, ply, san, fen, legal))
                     if not legal:
                         break
@@ -189,9 +192,12 @@ def replayed(games: DataFrame, game: str = "game_id", moves: str = "moves", limi
     return games.select(F.col(game).cast("long").alias(game), moves).mapInArrow(rows, f"{game} long, ply long, san string, fen string, legal boolean")
 
 
-def novel_plies(games: DataFrame, train: DataFrame, test: DataFrame, game: str = "game_id") -> DataFrame:
-    """(game, n, plies) of the test games: their plies whose position no train game has, for games with any."""
-    p = replayed(games, game)
+def novel_plies(games: DataFrame, train: DataFrame, test: DataFrame, game: str = "game_id", after: bool = False) -> DataFrame:
+    """(game, n, plies) of the test games: their plies whose position no train game has, for games with any.
+
+    after: the positions that legal moves lead to, so that a game's last one counts; else those that moves start from.
+    """
+    p = replayed(games, game, after=after).where("fen is not null")
     known = p.join(train, game, "left_semi").select("fen").distinct()
     new = p.join(test, game, "left_semi").join(known, "fen", "left_anti")
     return new.groupBy(game).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("ply")).alias("plies"))

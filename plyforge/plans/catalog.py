@@ -815,4 +815,4 @@ def replay_plies(spark, d):
 def novel_board_positions(spark, d):
     g = games(spark, d).select("o_orderkey", "moves")
     train, test = (g.where(f"o_orderkey % 10 {c}").select("o_orderkey") for c in ("<> 1", "= 1"))
-    return board.novel_plies(g, train, test, "o_orderkey").select("o_orderkey", "n", joined(F.col("plies")).alias("plies"))
+    return board.novel_plies(g, train, test, "o_orderkey", after=True).select("o_orderkey", "n", joined(F.col("plies")).alias("plies"))

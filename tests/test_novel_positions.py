@@ -1,6 +1,6 @@
 """The query novel_board_positions against plain sets."""
 
-from plyforge.operators.board import Board
+from plyforge.operators.board import Board, novel_plies
 from plyforge.plans import catalog
 from tests.conftest import SF
 
@@ -26,3 +26,19 @@ def test_every_game_is_train_or_test(spark, monkeypatch):
     catalog.QUERIES["novel_board_positions"](spark, SF)
     games, train, test = ([r.o_orderkey for r in s.select("o_orderkey").collect()] for s in sides)
     assert sorted(train + test) == sorted(games) and 0 < len(test) < len(train)
+
+
+def test_positions_after_the_moves(spark):
+    """The position after a game's last move is known from train games and looked up for test games."""
+    games = {1: "e4 e5 Nf3", 2: "e4 e5 Nc3 Nc6", 3: "e4 e5 Nf3 Nf6", 4: "e4 e5 Nf3", 5: "e4 e5 Nh3", 6: "d4 d5 Ke3", 7: "e4 Ke3", 8: ""}
+    frame = spark.createDataFrame(list(games.items()), "game_id long, moves string")
+    ids = lambda *g: spark.createDataFrame([(x,) for x in g], "game_id long")
+    got = {(r.game_id, r.n, tuple(r.plies)) for r in novel_plies(frame, ids(1), ids(2, 3, 4, 5, 6, 7, 8), after=True).collect()}
+    assert got == novel(games, [1], [2, 3, 4, 5, 6, 7, 8]) == {(2, 2, (2, 3)), (3, 1, (3,)), (5, 1, (2,)), (6, 2, (0, 1))}
+
+
+def test_query_equals_plain_sets(spark):
+    games = {r.o_orderkey: r.moves for r in catalog.games(spark, SF).collect()}
+    want = novel(games, [g for g in games if g % 10 != 1], [g for g in games if g % 10 == 1])
+    got = {(r.o_orderkey, r.n, r.plies) for r in catalog.QUERIES["novel_board_positions"](spark, SF).collect()}
+    assert got == {(g, n, ",".join(map(str, p))) for g, n, p in want}
