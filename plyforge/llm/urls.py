@@ -9,6 +9,7 @@ counts by generalised path; pages themselves are joined to their template once.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ MIN_PAGES, MIN_SHARE = 5, 0.02
 SIMILAR = 1.96
 #: Templates with a smoothed purity below MIN_PURITY are rejected; STRENGTH labelled pages' worth of prior.
 MIN_PURITY, STRENGTH = 0.6, 10.0
+#: A merged segment lists this many siblings; more are named by the least, their number and a hash of all.
+LISTED = 50
 
 
 def ascii_lower(c: Column) -> Column:
@@ -65,11 +68,32 @@ def generalised(path: Column, levels: int = LEVELS) -> Column:
     return F.when(F.size(all_) > levels, F.concat(F.slice(all_, 1, levels), F.array(F.lit("**")))).otherwise(all_)
 
 
-def template_tree(pages: DataFrame) -> DataFrame:
+def differ(m: int, b: int, other_m: int, other_b: int) -> bool:
+    p = (b + other_b + 1) / (m + other_m + 2)
+    return abs((b + 0.5) / (m + 1) - (other_b + 0.5) / (other_m + 1)) > SIMILAR * (p * (1 - p) * (1 / (m + 1) + 1 / (other_m + 1))) ** 0.5
+
+
+def pooled_branches(counts: pd.DataFrame) -> pd.DataFrame:
+    """The branch of each (m, b), with c siblings, of one place: in order of rates, a new one where a sibling differs
+    from the pooled counts of the branch so far or from its first. Siblings without labels are branch -1."""
+    counts = counts.assign(rate=(counts.b + 0.5) / (counts.m + 1)).sort_values(["rate", "m"], ignore_index=True)
+    out, branch, pool, first = [], 0, (0, 0), (0, 0)
+    for m, b, c in zip(counts.m.tolist(), counts.b.tolist(), counts.c.tolist()):
+        if m and pool[0] and (differ(m, b, *pool) or differ(m, b, *first)):
+            branch, pool = branch + 1, (0, 0)
+        if m and not pool[0]:
+            first = m, b
+        pool = pool[0] + c * m, pool[1] + c * b
+        out.append(branch if m else -1)
+    return counts.assign(branch=out)[["host", "hole", "m", "b", "branch"]]
+
+
+def template_tree(pages: DataFrame, pooled: bool = False) -> DataFrame:
     """(host, pre, template, n, m, b) of each host and generalised path pre of pages (host, pre, labelled, bad).
 
     template (segments joined by /) is pre with rare segments as * and merged ones as (a|b). n, m and b are the whole
-    template's pages, labelled pages and bad pages. Where labels are few, branches look alike and merge.
+    template's pages, labelled pages and bad pages. Where labels are few, branches look alike and merge: with pooled a
+    sibling is compared with all of the branch so far, else with its neighbour in the order of rates only.
     """
     known = pages.groupBy("host", "pre").agg(F.count("*").alias("n"), F.sum("labelled").alias("m"), F.sum("bad").alias("b"))
     known = materialize(known.withColumn("cur", F.col("pre")), "paths")
@@ -87,17 +111,28 @@ def template_tree(pages: DataFrame) -> DataFrame:
         stats = known.groupBy("host", "cur").agg(F.sum("m").alias("m"), F.sum("b").alias("b")).where(F.size("cur") >= level)
         seg = F.get("cur", F.lit(level - 1))
         stats = stats.withColumn("seg", seg).withColumn("hole", F.array_join(F.transform("cur", lambda s, i: F.when(i == level - 1, F.lit("\x00")).otherwise(s)), "/"))
-        rate = (F.col("b") + 0.5) / (F.col("m") + 1)
-        order = Window.partitionBy("host", "hole").orderBy("rate", "seg")
-        stats = stats.where("not startswith(seg, '<') and seg not in ('*', '**')").withColumn("rate", rate)
-        gap = F.col("rate") - F.lag("rate").over(order)
-        both_m, both_b = F.col("m") + F.lag("m").over(order), F.col("b") + F.lag("b").over(order)
-        pooled = (both_b + 1) / (both_m + 2)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("m") + 1) + 1 / (F.lag("m").over(order) + 1)))
-        stats = stats.withColumn("new", F.when(gap > SIMILAR * error, 1).otherwise(0))
-        stats = stats.withColumn("branch", F.sum("new").over(order))
-        merged = stats.groupBy("host", "hole", "branch").agg(F.array_sort(F.collect_set("seg")).alias("segs")).where("size(segs) > 1")
-        to = merged.select("host", "hole", F.explode("segs").alias("seg"), F.concat(F.lit("("), F.array_join("segs", "|"), F.lit(")")).alias("union"))
+        stats = stats.where("not startswith(seg, '<') and seg not in ('*', '**')")
+        if pooled:
+            stats = materialize(stats, "siblings")
+            counts = stats.groupBy("host", "hole", "m", "b").agg(F.count("*").alias("c"))
+            branches = counts.groupBy("host", "hole").applyInPandas(pooled_branches, "host string, hole string, m long, b long, branch long")
+            stats = materialize(stats.join(sized(materialize(branches, "branches")), ["host", "hole", "m", "b"]), "siblings")
+        else:
+            rate = (F.col("b") + 0.5) / (F.col("m") + 1)
+            order = Window.partitionBy("host", "hole").orderBy("rate", "seg")
+            stats = stats.withColumn("rate", rate)
+            gap = F.col("rate") - F.lag("rate").over(order)
+            both_m, both_b = F.col("m") + F.lag("m").over(order), F.col("b") + F.lag("b").over(order)
+            share = (both_b + 1) / (both_m + 2)
+            error = F.sqrt(share * (1 - share) * (1 / (F.col("m") + 1) + 1 / (F.lag("m").over(order) + 1)))
+            stats = stats.withColumn("new", F.when(gap > SIMILAR * error, 1).otherwise(0))
+            stats = materialize(stats.withColumn("branch", F.sum("new").over(order)), "siblings")
+        named = stats.groupBy("host", "hole", "branch").agg(F.count("*").alias("k"), F.min("seg").alias("least"), F.bit_xor(F.xxhash64("seg")).alias("all")).where("k > 1")
+        of = stats.join(named, ["host", "hole", "branch"])
+        few = of.where(F.col("k") <= LISTED).groupBy("host", "hole", "branch").agg(F.array_sort(F.collect_set("seg")).alias("segs"))
+        few = few.select("host", "hole", F.explode("segs").alias("seg"), F.concat(F.lit("("), F.array_join("segs", "|"), F.lit(")")).alias("union"))
+        many = of.where(F.col("k") > LISTED).select("host", "hole", "seg", F.format_string("(%s|+%d:%x)", "least", F.col("k") - 1, "all").alias("union"))
+        to = few.unionAll(many)
         to = materialize(to, "merges")
         here = known.withColumn("seg", seg).withColumn("hole", F.array_join(F.transform("cur", lambda s, i: F.when(i == level - 1, F.lit("\x00")).otherwise(s)), "/"))
         replaced = F.transform("cur", lambda s, i: F.when((i == level - 1) & F.col("union").isNotNull(), F.col("union")).otherwise(s))
@@ -107,7 +142,7 @@ def template_tree(pages: DataFrame) -> DataFrame:
     return of.select("host", "pre", "template").join(totals, ["host", "template"])
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, label_key: Column, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, label_key: Column, rules: list[tuple[str, str, str]] = RULES, pooled: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of each row of pages (page_id, url).
 
     labels (doc_id, quality, toxic): a page is bad if its label has quality 0 or toxic 1; label_key gives its doc_id
@@ -115,7 +150,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, label_key: Column, rules: li
     pages, smoothed towards its host's, and that towards the whole table's; a template without a labelled page isn't
     rejected, whatever its purity. A null url, or one
     without ://, has empty host and path, and the template / of the empty host. Repeated rows stay; extra columns are
-    ignored. An empty table gives no rows.
+    ignored. An empty table gives no rows. pooled: see template_tree.
     """
     url = F.col("url").cast("string")
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -123,7 +158,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, label_key: Column, rules: li
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     judged = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max(bad).alias("bad"), F.lit(1).alias("labelled"))
     seen = slim.select("host", "pre", "key").join(judged, "key", "left").select("host", "pre", F.coalesce("labelled", F.lit(0)).alias("labelled"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    tree = materialize(template_tree(seen), "tree")
+    tree = materialize(template_tree(seen, pooled), "tree")
     by_host = tree.select("host", "template", "m", "b").distinct().groupBy("host").agg(F.sum("m").alias("host_m"), F.sum("b").alias("host_b"))
     all_m, all_b = by_host.agg(F.sum("host_m"), F.sum("host_b")).first()
     base = (all_b or 0) / all_m if all_m else 0.0
@@ -142,4 +177,4 @@ def last_number(path: Column) -> Column:
 
 
 def op5_path_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), last_number(F.col("path")))
+    return judge_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), last_number(F.col("path")), pooled=True)

@@ -1,0 +1,41 @@
+"""URL filter: siblings between which rates rise step by step, and siblings without labels."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from plyforge.llm import urls
+
+
+def judged(spark, sections, **kw):
+    """{section: (template, verdict)} of sections (name, pages, labelled, bad) of one host."""
+    pages, labels, i = [], [], 0
+    for name, n, m, b in sections:
+        for k in range(n):
+            pages.append((i, f"https://h.org/{name}/{i}"))
+            if k < m:
+                labels.append((i, int(k >= b), 0))
+            i += 1
+    got = urls.judge_urls(
+        spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), urls.last_number(F.col("path")), pooled=True, **kw
+    ).collect()
+    out = {(r.path.split("/")[1], r.template, r.verdict) for r in got}
+    assert len(out) == len(sections)
+    return {s: (t, v) for s, t, v in out}
+
+
+@pytest.mark.parametrize("bad", [(60, 80, 100, 122, 146, 170, 196, 222), (40, 80, 120, 160, 200, 240, 280, 320, 360)])
+def test_no_chain_from_good_to_bad(spark, bad):
+    got = judged(spark, [(f"s{chr(97 + i)}", 400, 400, b) for i, b in enumerate(bad)])
+    assert got["sa"][1] == "allow" and got[f"s{chr(96 + len(bad))}"][1] == "block"
+
+
+def test_siblings_without_labels_are_no_bridge(spark):
+    got = judged(spark, [("good", 60, 60, 15), ("none", 60, 0, 0), ("other", 60, 0, 0), ("bad", 60, 60, 45)])
+    assert got["good"] == ("/good/<num>", "allow") and got["bad"] == ("/bad/<num>", "block")
+    assert got["none"] == got["other"] == ("/(none|other)/<num>", "allow")
+
+
+def test_many_merged_siblings_have_a_short_name(spark, monkeypatch):
+    monkeypatch.setattr(urls, "LISTED", 3)
+    got = judged(spark, [(f"s{c}", 20, 20, 1) for c in "abcdef"])
+    assert len({t for t, _ in got.values()}) == 1 and got["sa"][0].startswith("/(sa|+5:")
