@@ -23,9 +23,9 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Levels of the tree; what lies deeper is one wildcard.
+#: Levels of a bounded tree; what lies deeper is one wildcard.
 LEVELS = 6
-#: A literal segment needs this many pages, and this share of its branch's.
+#: A literal segment needs this many pages, and in a bounded tree this share of its branch's.
 MIN_PAGES, MIN_SHARE = 5, 0.02
 #: Siblings merge while their bad rates lie within this many standard errors.
 SIMILAR = 1.96
@@ -56,8 +56,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], what:
     return out
 
 
-def generalised(path: Column, levels: int = LEVELS) -> Column:
-    """A path's segments, variable ones by form: <date>, <num>, <hex> with what follows a dot; at most levels, then **."""
+def generalised(path: Column, levels: int | None = LEVELS) -> Column:
+    """A path's segments, variable ones by form: <date>, <num>, <hex> with what follows a dot; at most levels, then **.
+
+    levels None: all segments.
+    """
     form = lambda s: (
         F.when(s.rlike(r"^\d{4}-\d\d?-\d\d?$"), F.lit("<date>"))
         .when(s.rlike(r"^\d+(\.[A-Za-z]+)?$"), F.regexp_replace(s, r"^\d+", "<num>"))
@@ -65,6 +68,8 @@ def generalised(path: Column, levels: int = LEVELS) -> Column:
         .otherwise(s)
     )
     all_ = F.transform(F.split(F.regexp_replace(path, r"^/", ""), "/"), form)
+    if levels is None:
+        return all_
     return F.when(F.size(all_) > levels, F.concat(F.slice(all_, 1, levels), F.array(F.lit("**")))).otherwise(all_)
 
 
@@ -88,26 +93,56 @@ def pooled_branches(counts: pd.DataFrame) -> pd.DataFrame:
     return counts.assign(branch=out)[["host", "hole", "m", "b", "branch"]]
 
 
-def template_tree(pages: DataFrame, pooled: bool = False) -> DataFrame:
+def with_literals(known: DataFrame) -> tuple[DataFrame, int]:
+    """known with rare segments of cur as *, and the number of levels that have literals; see template_tree."""
+    forms = F.col("seg").isin("<num>", "<hex>", "<date>")
+    closed = lambda level: F.transform("cur", lambda s, i: F.when((i >= level - 1) & ~s.isin("<num>", "<hex>", "<date>"), F.lit("*")).otherwise(s))
+    done, level = [], 1
+    while True:
+        done.append(known.where(F.size("cur") < level).select("host", "pre", "n", "m", "b", "cur"))
+        at = known.where(F.size("cur") >= level).withColumn("seg", F.get("cur", F.lit(level - 1))).withColumn("prefix", F.array_join(F.slice("cur", 1, level - 1), "/"))
+        children = materialize(at.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("c")), "children")
+        nodes = children.groupBy("host", "prefix").agg(F.sum("c").alias("total")).where(F.col("total") >= MIN_PAGES)
+        # Branches with enough pages go on, and of their children those with enough are literals.
+        went = children.join(nodes, ["host", "prefix"]).select("host", "prefix", "seg", (forms | (F.col("c") >= MIN_PAGES)).alias("stays"))
+        went = materialize(went, "literals")
+        told = materialize(at.join(sized(went), ["host", "prefix", "seg"], "left"), "paths")
+        done.append(told.where("stays is null").select("host", "pre", "n", "m", "b", closed(level).alias("cur")))
+        replaced = F.transform("cur", lambda s, i: F.when((i == level - 1) & ~F.col("stays"), F.lit("*")).otherwise(s))
+        known = told.where("stays is not null").select("host", "pre", "n", "m", "b", replaced.alias("cur"))
+        if known.isEmpty():
+            break
+        known, level = materialize(known, "paths"), level + 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionAll(d)
+    return materialize(out, "paths"), level - 1
+
+
+def template_tree(pages: DataFrame, pooled: bool = False, bounded: bool = True) -> DataFrame:
     """(host, pre, template, n, m, b) of each host and generalised path pre of pages (host, pre, labelled, bad).
 
     template (segments joined by /) is pre with rare segments as * and merged ones as (a|b). n, m and b are the whole
     template's pages, labelled pages and bad pages. Where labels are few, branches look alike and merge: with pooled a
-    sibling is compared with all of the branch so far, else with its neighbour in the order of rates only.
+    sibling is compared with all of the branch so far, else with its neighbour in the order of rates only. bounded: a
+    literal also needs MIN_SHARE of its branch. Else MIN_PAGES decide, and a path leaves the loop over levels where its
+    branch has fewer, as nothing below can be a literal: a long path costs levels only as far as others share it.
     """
     known = pages.groupBy("host", "pre").agg(F.count("*").alias("n"), F.sum("labelled").alias("m"), F.sum("bad").alias("b"))
     known = materialize(known.withColumn("cur", F.col("pre")), "paths")
-    depth = known.agg(F.max(F.size("pre"))).first()[0] or 0  # LEVELS + 1 at most
-    for level in range(1, depth + 1):
-        at = known.withColumn("seg", F.get("cur", F.lit(level - 1))).withColumn("prefix", F.array_join(F.slice("cur", 1, level - 1), "/"))
-        children = at.where("seg is not null").groupBy("host", "prefix", "seg").agg(F.sum("n").alias("c"))
-        nodes = children.groupBy("host", "prefix").agg(F.sum("c").alias("total"))
-        fair = F.col("seg").isin("<num>", "<hex>", "<date>") | (F.col("c") >= MIN_PAGES) & (F.col("c") >= MIN_SHARE * F.col("total"))
-        literal = materialize(children.join(nodes, ["host", "prefix"]).where(fair).select("host", "prefix", "seg", F.lit(True).alias("stays")), "literals")
-        replaced = F.transform("cur", lambda s, i: F.when((i == level - 1) & F.col("stays").isNull(), F.lit("*")).otherwise(s))
-        known = materialize(at.join(sized(literal), ["host", "prefix", "seg"], "left").select("host", "pre", "n", "m", "b", replaced.alias("cur")), "paths")
+    if bounded:
+        depth = known.agg(F.max(F.size("pre"))).first()[0] or 0  # LEVELS + 1 at most
+        for level in range(1, depth + 1):
+            at = known.withColumn("seg", F.get("cur", F.lit(level - 1))).withColumn("prefix", F.array_join(F.slice("cur", 1, level - 1), "/"))
+            children = at.where("seg is not null").groupBy("host", "prefix", "seg").agg(F.sum("n").alias("c"))
+            nodes = children.groupBy("host", "prefix").agg(F.sum("c").alias("total"))
+            fair = F.col("seg").isin("<num>", "<hex>", "<date>") | (F.col("c") >= MIN_PAGES) & (F.col("c") >= MIN_SHARE * F.col("total"))
+            literal = materialize(children.join(nodes, ["host", "prefix"]).where(fair).select("host", "prefix", "seg", F.lit(True).alias("stays")), "literals")
+            replaced = F.transform("cur", lambda s, i: F.when((i == level - 1) & F.col("stays").isNull(), F.lit("*")).otherwise(s))
+            known = materialize(at.join(sized(literal), ["host", "prefix", "seg"], "left").select("host", "pre", "n", "m", "b", replaced.alias("cur")), "paths")
+    else:
+        known, depth = with_literals(known)
     for level in range(depth, 0, -1):
-        # At most 1 / MIN_SHARE literals and the wildcard differ in one place.
         stats = known.groupBy("host", "cur").agg(F.sum("m").alias("m"), F.sum("b").alias("b")).where(F.size("cur") >= level)
         seg = F.get("cur", F.lit(level - 1))
         stats = stats.withColumn("seg", seg).withColumn("hole", F.array_join(F.transform("cur", lambda s, i: F.when(i == level - 1, F.lit("\x00")).otherwise(s)), "/"))
@@ -142,7 +177,7 @@ def template_tree(pages: DataFrame, pooled: bool = False) -> DataFrame:
     return of.select("host", "pre", "template").join(totals, ["host", "template"])
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, label_key: Column, rules: list[tuple[str, str, str]] = RULES, pooled: bool = False) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, label_key: Column, rules: list[tuple[str, str, str]] = RULES, pooled: bool = False, bounded: bool = True) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of each row of pages (page_id, url).
 
     labels (doc_id, quality, toxic): a page is bad if its label has quality 0 or toxic 1; label_key gives its doc_id
@@ -150,15 +185,16 @@ def judge_urls(pages: DataFrame, labels: DataFrame, label_key: Column, rules: li
     pages, smoothed towards its host's, and that towards the whole table's; a template without a labelled page isn't
     rejected, whatever its purity. A null url, or one
     without ://, has empty host and path, and the template / of the empty host. Repeated rows stay; extra columns are
-    ignored. An empty table gives no rows. pooled: see template_tree.
+    ignored. An empty table gives no rows. pooled, bounded: see template_tree;
+    paths deeper than LEVELS end in ** there if bounded.
     """
     url = F.col("url").cast("string")
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    slim = slim.withColumn("key", label_key.cast("long")).withColumn("pre", generalised(F.col("path")))
+    slim = slim.withColumn("key", label_key.cast("long")).withColumn("pre", generalised(F.col("path"), LEVELS if bounded else None))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     judged = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max(bad).alias("bad"), F.lit(1).alias("labelled"))
     seen = slim.select("host", "pre", "key").join(judged, "key", "left").select("host", "pre", F.coalesce("labelled", F.lit(0)).alias("labelled"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    tree = materialize(template_tree(seen, pooled), "tree")
+    tree = materialize(template_tree(seen, pooled, bounded), "tree")
     by_host = tree.select("host", "template", "m", "b").distinct().groupBy("host").agg(F.sum("m").alias("host_m"), F.sum("b").alias("host_b"))
     all_m, all_b = by_host.agg(F.sum("host_m"), F.sum("host_b")).first()
     base = (all_b or 0) / all_m if all_m else 0.0
@@ -177,4 +213,4 @@ def last_number(path: Column) -> Column:
 
 
 def op5_path_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), last_number(F.col("path")), pooled=True)
+    return judge_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), last_number(F.col("path")), pooled=True, bounded=False)
