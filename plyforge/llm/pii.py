@@ -24,7 +24,7 @@ from plyforge.llm.common import read
 KINDS = ["email", "ip", "card", "phone"]
 #: Documents that the weights are fitted on, at most about, and the code points that each gives to the fit.
 SAMPLE, SAMPLE_CHARS = 4000, 8_000
-#: Rounds of message passing, the share of the old message that stays, and the least probability of an added span.
+#: Rounds of message passing at least, the share of the old message that stays, and the least probability of an added span.
 ROUNDS, DAMPING, SURE = 8, 0.3, 0.9
 
 #: The base patterns. Possessive digits and look-behinds change no match; they keep long runs linear.
@@ -33,6 +33,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: A document's messages have converged when none changes by more.
+SETTLED = 1e-6
 NODE = re.compile(r"[0-9@]")
 BLANK = frozenset("\x20\t\n\x0b\x0c\r")
 TOKEN_END = re.compile(r"[\x20\x09-\x0D]|\Z")
@@ -134,12 +136,14 @@ def features(text: str, at: list[tuple[int, int]], i: int) -> np.ndarray:
 
 
 def key(text: str, span: tuple[int, int]) -> str | None:
-    """What makes nodes similar: the last seven digits of a token of digits and signs, or an address in lower case."""
+    """What makes nodes similar: the last seven digits of a token of digits and signs, or the token, an address in lower case."""
     core = text[span[0] : min(span[1], span[0] + 256)].strip(TRIM)
     if "@" in core:
         return core.lower()
     digits = re.sub("[^0-9]", "", core)
-    return digits[-7:] if len(digits) >= 7 and not re.sub(r"[0-9().+-]", "", core) else None
+    if len(digits) >= 7 and not re.sub(r"[0-9().+-]", "", core):
+        return digits[-7:]
+    return "=" + text[span[0] : span[1]].strip(TRIM) if core else None
 
 
 class Graph:
@@ -169,31 +173,73 @@ class Graph:
         self.kinds = np.array(kinds, np.int64)
 
 
-def infer(graph: Graph, model: dict) -> np.ndarray:
+def labels_of(graph: Graph, spans: list[list[Span]]) -> np.ndarray:
+    """The label of each node: the kind of a span of its text that it overlaps, else 0."""
+    y = np.zeros(len(graph.doc), np.int64)
+    for i, (d, (s, e)) in enumerate(zip(graph.doc, graph.span)):
+        for kind, a, b in spans[d]:
+            if a < e and s < b:
+                y[i] = 1 + KINDS.index(kind)
+    return y
+
+
+def infer(graph: Graph, model: dict, known: np.ndarray | None = None) -> np.ndarray:
     """P(label) of each node by sum-product messages in both directions of every edge, in rounds, with damping.
 
-    On trees the result is exact after as many rounds as the tree is deep.
+    Nodes with a label in known (0: none) are held at it. Rounds go on, connected part by connected part, until its
+    messages have settled; on trees the result is then exact, however long they are. Loops that never settle end after
+    ROUNDS and four rounds a node of their part.
     """
     score = graph.x @ np.array(model["emit"]).T
     k = score.shape[1]
+    if known is not None:
+        held = np.flatnonzero(known)
+        score[held] = -1e4
+        score[held, known[held]] = 0
     a, b = graph.edges[:, 0], graph.edges[:, 1]
     pair = np.array(model["pair"])[graph.kinds]
     forth, back = np.zeros((len(a), k)), np.zeros((len(a), k))
     belief = score.copy()
-    for _ in range(ROUNDS if len(a) else 0):
-        to_b = np.logaddexp.reduce((belief[a] - back)[:, :, None] + pair, axis=1)
-        to_a = np.logaddexp.reduce((belief[b] - forth)[:, None, :] + pair, axis=2)
+    part = parts(len(score), a, b)
+    most = ROUNDS + 4 * np.bincount(part, minlength=len(score))
+    on, done = np.arange(len(a)), 0
+    while len(on):
+        i, j = a[on], b[on]
+        to_b = np.logaddexp.reduce((belief[i] - back[on])[:, :, None] + pair[on], axis=1)
+        to_a = np.logaddexp.reduce((belief[j] - forth[on])[:, None, :] + pair[on], axis=2)
         to_b -= np.logaddexp.reduce(to_b, axis=1)[:, None]
         to_a -= np.logaddexp.reduce(to_a, axis=1)[:, None]
-        forth, back = DAMPING * forth + (1 - DAMPING) * to_b, DAMPING * back + (1 - DAMPING) * to_a
-        belief = score.copy()
-        np.add.at(belief, b, forth)
-        np.add.at(belief, a, back)
+        moved = np.maximum(np.abs(to_b - forth[on]).max(1), np.abs(to_a - back[on]).max(1))
+        forth[on], back[on] = DAMPING * forth[on] + (1 - DAMPING) * to_b, DAMPING * back[on] + (1 - DAMPING) * to_a
+        touched = np.unique(np.concatenate([i, j]))
+        belief[touched] = score[touched]
+        np.add.at(belief, j, forth[on])
+        np.add.at(belief, i, back[on])
+        done += 1
+        if done >= ROUNDS:
+            change = np.zeros(len(score))
+            np.maximum.at(change, part[i], moved)
+            on = on[(change[part[i]] > SETTLED) & (done < most[part[i]])]
     belief -= belief.max(1, keepdims=True)
     p = np.exp(belief)
     return p / p.sum(1, keepdims=True)
 
 
+def parts(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The connected part of each of n nodes, named by one of its nodes."""
+    root = list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        root[top(x)] = top(y)
+    return np.array([top(x) for x in range(n)], np.int64)
+
+
 def fit(texts: list[str], steps: int = 200) -> dict:
     """emit (labels, features) and pair (edge kinds, labels, labels), symmetric, by pseudo-likelihood and Adam.
 
@@ -202,12 +248,7 @@ def fit(texts: list[str], steps: int = 200) -> dict:
     """
     graph = Graph(texts)
     k = 1 + len(KINDS)
-    y = np.zeros(len(graph.doc), np.int64)
-    spans = [base_spans(t) for t in texts]
-    for i, (d, (s, e)) in enumerate(zip(graph.doc, graph.span)):
-        for kind, a, b in spans[d]:
-            if a < e and s < b:
-                y[i] = 1 + KINDS.index(kind)
+    y = labels_of(graph, [base_spans(t) for t in texts])
     used = np.ones(len(y), bool)
     for (a, b), kind in zip(graph.edges, graph.kinds):
         if kind == 1 and (y[a] == 0) != (y[b] == 0):
@@ -241,7 +282,7 @@ def fit(texts: list[str], steps: int = 200) -> dict:
 def added_spans(texts: list[str | None], bases: list[list[Span]], model: dict) -> list[list[Span]]:
     """For each text the spans beyond its base spans: nodes of a sure label that no base span touches."""
     graph = Graph(texts)
-    p = infer(graph, model)
+    p = infer(graph, model, labels_of(graph, bases))
     label, sure = p.argmax(1), p.max(1) >= SURE
     out: list[list[Span]] = [[] for _ in texts]
     before = -2  # the node of the last added span

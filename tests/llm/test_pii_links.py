@@ -1,0 +1,20 @@
+"""Personal data: labels reach every mention of a number in a long document; equal tokens are linked."""
+
+from plyforge.llm import pii
+
+
+def test_distant_mentions_take_the_label(spark):
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    filler = " plain words go on. " * 5
+    for n in (12, 60):
+        text = "reach me at +1 (988) 555-2485 in the day." + (filler + "again: 555-2485 if busy,") * n
+        added = pii.added_spans([text], [pii.base_spans(text)], model)[0]
+        assert [(k, text[a:b]) for k, a, b in added] == [("phone", "555-2485")] * n
+
+
+def test_equal_tokens_are_linked():
+    texts = ["room 12b then 12b, and 555 or 555. 12B"]
+    graph = pii.Graph(texts)
+    words = [texts[0][s:e].strip(pii.TRIM) for s, e in graph.span]
+    skips = [(words[a], words[b]) for (a, b), kind in zip(graph.edges, graph.kinds) if kind == 1]
+    assert skips == [("12b", "12b"), ("555", "555")]
