@@ -44,8 +44,9 @@ def test_entry(spark):
     assert set(catalog.QUERIES) <= set(e.queries())
 
 
-def test_entry_without_the_optional_parts(tmp_path):
-    """A copy of the repository without the llm folders and corpus_pipeline.py imports and lists the catalogue."""
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_entry_without_the_optional_parts(tmp_path, with_pipeline):
+    """A copy of the repository without the llm folders, with or without corpus_pipeline.py, imports and lists the catalogue."""
     import shutil
     import subprocess
     import sys
@@ -54,6 +55,8 @@ def test_entry_without_the_optional_parts(tmp_path):
     shutil.copytree(f"{here}/plyforge", tmp_path / "plyforge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     (tmp_path / "plyforge/llm/__pycache__").mkdir(parents=True)
     shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
+    if with_pipeline:
+        shutil.copy(f"{here}/corpus_pipeline.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True)
     assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLE_SQL))], said.stderr
 
