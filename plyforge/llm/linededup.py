@@ -1,40 +1,54 @@
 """Line dedup: a segment-partition join of lines within an edit distance.
 
 A line of length l is cut into MAX_EDITS + 1 segments. Two lines within MAX_EDITS edits share a segment of the shorter
-one, at a place that the lengths and the edits left bound: a line files its own segments by (length, segment number,
-hash) and probes, for its own length and each shorter one in reach, the few substrings that can match. Substring
-hashes come from prefix sums of a polynomial, all lines of a batch at once. Candidates that match are thinned inside
-the join by a signature (the parities of the code points' counts: an edit changes two at most) and then verified on
-the texts by a banded bit-parallel edit distance. Verified links give classes; of each class the first line stays.
+one, at a place that the lengths and the edits left bound: a line files its own segments under keys of (length, segment
+number, hash) and probes, for its own length and each shorter one in reach, the few substrings that can match. Substring
+hashes come from prefix sums of a polynomial, all lines of a batch at once. A first pass finds the keys in which two
+lines meet (counts that are combined before they are shuffled, so that a frequent segment costs no task of its own); a
+second one takes the rows of these keys. The lines of a key are compared in tasks: pairs are thinned by a signature (the
+parities of the code points' counts: an edit changes two at most), those already connected are skipped, the others are
+verified on the texts by a banded bit-parallel edit distance, and of the links a spanning forest leaves the task. So what
+is kept grows with the lines and not with the pairs of a group. Links give classes; of each class the first line stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.llm.common import components, materialize, read, sized
+from plyforge.llm.common import components, dealt, forest, materialize, pairs_in_blocks, read, sized, whole_blocks
 
 MAX_EDITS = 2
 #: Shorter lines (code points) are duplicates only if equal: within two edits, short lines are often unrelated.
 MIN_CHARS = 20
 #: Code points whose prefix sums are held together; a longer text is a group of its own.
 TOGETHER = 1_000_000
+#: Pairs that are verified before those that the links found connect are skipped.
+VERIFIED = 256
 BLANK = "\x20\t\n\x0b\x0c\r"
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """base to the powers 0 to n - 1; up to TOGETHER twice they are kept."""
+    have = POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.full(n, base, np.uint64)
+        have[:1] = 1
+        have = np.multiply.accumulate(have)
+        if n <= 2 * TOGETHER:
+            POWERS[base] = have
+    return have[:n]
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -51,27 +65,33 @@ def segments(length: np.ndarray, i: int, edits: int = MAX_EDITS) -> tuple[np.nda
     return short * i + np.maximum(0, i - plain), short + (i >= plain)
 
 
-def line_ids(lines: list[str]) -> np.ndarray:
-    """A line's identity: the 64-bit hash of its UTF-8 text, the same as that of Spark's xxhash64."""
-    return np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines), np.uint64, len(lines))
+#: A code point's bit in the signature, of those below 65,536.
+BITS = np.uint64(1) << (scramble(np.arange(1 << 16, dtype=np.uint64)) & np.uint64(63))
+
+
+def line_ids(lines: list[str]) -> list[bytes]:
+    """A line's identity: the 128-bit hash of its UTF-8 text, the same as in lines_of."""
+    return [hashlib.md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for x in lines]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line, text, id): the lines of docs (doc_id, text) with a word, numbered from 0 with the others."""
     every = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return every.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.xxhash64("text"))
+    return every.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.unhex(F.md5("text")))
 
 
 class Prefixes:
     """Prefix sums over some lines: substring hashes, and each line's signature."""
 
     def __init__(self, lines: list[str]) -> None:
-        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.lengths = np.fromiter(map(len, lines), np.int64, len(lines))
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers(BASE, len(codes)), dtype=np.uint64)))
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(codes)), out=self.sums[1:])
         self.back = powers(INVERSE, len(codes) + 1)
-        self.signature = np.bitwise_xor.reduceat(np.uint64(1) << (scramble(codes) & np.uint64(63)), self.starts)
+        bits = np.take(BITS, codes) if codes.max(initial=0) < len(BITS) else np.uint64(1) << (scramble(codes.astype(np.uint64)) & np.uint64(63))
+        self.signature = np.bitwise_xor.reduceat(bits, self.starts)
 
     def key(self, at: np.ndarray, size: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
         """Of the substrings at the places at: their hash, mixed with the filed line's length and the segment's number."""
@@ -79,22 +99,15 @@ class Prefixes:
         return scramble(h ^ scramble(length.astype(np.uint64) * np.uint64(MAX_EDITS + 1) + np.uint64(i)))
 
 
-def filed_keys(p: Prefixes) -> tuple[np.ndarray, np.ndarray]:
-    """(line index, key): every line under its own segments. Lines have MIN_CHARS or more."""
-    keys = []
-    for i in range(MAX_EDITS + 1):
-        at, size = segments(p.lengths, i)
-        keys.append(p.key(p.starts + at, size, p.lengths, i))
-    return np.tile(np.arange(len(p.lengths)), MAX_EDITS + 1), np.concatenate(keys)
-
+def keys_of(p: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line index, key, filed): every line of MIN_CHARS or more under its own segments, and where it probes.
 
-def probe_keys(p: Prefixes) -> tuple[np.ndarray, np.ndarray]:
-    """(line index, key): where a line of the same length or up to MAX_EDITS shorter can have left a segment whole.
-
-    Segment i has i segments before it and MAX_EDITS - i after: if it is the first match from the left, its shift is
-    within i; if the last from the right, it is within MAX_EDITS - i of the difference of the lengths.
+    It probes where a line of the same length or up to MAX_EDITS shorter can have left a segment whole. Segment i has i
+    segments before it and MAX_EDITS - i after: if it is the first match from the left, its shift is within i; if the
+    last from the right, it is within MAX_EDITS - i of the difference of the lengths. Filed rows are also probes of the
+    line's own length without a shift.
     """
-    every, index, keys = np.arange(len(p.lengths)), [], []
+    every, index, keys, filed = np.arange(len(p.lengths)), [], [], []
     for less in range(MAX_EDITS + 1):
         target = p.lengths - less
         for i in range(MAX_EDITS + 1):
@@ -103,7 +116,8 @@ def probe_keys(p: Prefixes) -> tuple[np.ndarray, np.ndarray]:
                 ok = (at + shift >= 0) & (at + shift + size <= p.lengths) & (target >= MIN_CHARS)
                 index.append(every[ok])
                 keys.append(p.key((p.starts + at + shift)[ok], size[ok], target[ok], i))
-    return np.concatenate(index), np.concatenate(keys)
+                filed.append(np.full(len(index[-1]), less == shift == 0))
+    return np.concatenate(index), np.concatenate(keys), np.concatenate(filed)
 
 
 def _grouped(texts: Iterator[str | None]) -> Iterator[list[str]]:
@@ -126,18 +140,25 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _keyed(docs: DataFrame, keys_of, id_name: str, signature: str) -> DataFrame:
-    """(key, id, signature) of the distinct lines of MIN_CHARS or more, hash-partitioned by key."""
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, filed); id is a 64-bit hash here, which only tells whether two lines of a key differ."""
+    for batch in batches:
+        for lines in _grouped(t.as_py() for t in batch.column(0)):
+            p = Prefixes(lines)
+            index, keys, filed = keys_of(p)
+            ids = p.key(p.starts, p.lengths, p.lengths, 0)
+            yield pa.RecordBatch.from_arrays([_signed(keys), _signed(ids[index]), pa.array(filed)], ["key", "id", "filed"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lines in _grouped(t.as_py() for t in batch.column(0)):
-                ids, prefixes = line_ids(lines), Prefixes(lines)
-                index, keys = keys_of(prefixes)
-                yield pa.RecordBatch.from_arrays([_signed(keys), _signed(ids[index]), _signed(prefixes.signature[index])], ["key", id_name, signature])
 
-    # One shuffle serves both the distinct and the join; repeats inside a batch are gone before it.
-    return docs.select("text").mapInArrow(rows, f"key long, {id_name} long, {signature} long").repartition("key").distinct()
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, filed, signature, chars) of the same rows, under the lines' identities."""
+    for batch in batches:
+        for lines in _grouped(t.as_py() for t in batch.column(0)):
+            p = Prefixes(lines)
+            index, keys, filed = keys_of(p)
+            ids = pa.array(line_ids(lines), pa.binary()).take(pa.array(index))
+            cols = [_signed(keys), ids, pa.array(filed), _signed(p.signature[index]), pa.array(p.lengths[index])]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "id", "filed", "signature", "chars"])
 
 
 def edit_distance(a: str, b: str, most: int = MAX_EDITS) -> int:
@@ -187,24 +208,44 @@ def edit_distance(a: str, b: str, most: int = MAX_EDITS) -> int:
     return min(score, most + 1)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [edit_distance(x.as_py(), y.as_py()) <= MAX_EDITS for x, y in zip(batch.column(2), batch.column(3))]
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks of keys, links (a, b) of lines within MAX_EDITS that connect what all links in the block connect."""
+    for table in whole_blocks(batches):
+        ids = table.column("id").combine_chunks().dictionary_encode()
+        node, text = ids.indices.to_numpy(), table.column("text")
+        signature, label = table.column("signature").to_numpy().view(np.uint64), np.arange(len(ids.dictionary))
+        a, b = [], []
+        for i, j in pairs_in_blocks(table.column("key").to_numpy(), table.column("block").to_numpy(), table.column("filed").to_numpy(zero_copy_only=False)):
+            near = np.bitwise_count(signature[i] ^ signature[j]) <= 2 * MAX_EDITS
+            i, j = i[near], j[near]
+            while len(i := i[apart := label[node[i]] != label[node[j]]]):
+                j = j[apart]
+                # Some at a time, so that links found leave fewer to verify.
+                links = [(x, y) for x, y in zip(i[:VERIFIED].tolist(), j[:VERIFIED].tolist()) if edit_distance(text[x].as_py(), text[y].as_py()) <= MAX_EDITS]
+                i, j = i[VERIFIED:], j[VERIFIED:]
+                if links:
+                    x, y = np.array(links).T
+                    taken, label = forest(label, node[x], node[y])
+                    a += node[x[taken]].tolist()
+                    b += node[y[taken]].tolist()
+        yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(x, pa.int64())) for x in (a, b)], ["a", "b"])
 
 
 def near_lines(docs: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of the ids of different lines of docs (doc_id, text) within MAX_EDITS edits."""
-    filed, probes = _keyed(docs, filed_keys, "b", "sb"), _keyed(docs, probe_keys, "a", "sa")
-    alike = (F.col("a") != F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * MAX_EDITS)
-    pairs = probes.join(filed, (probes["key"] == filed["key"]) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs, "line-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
+    """Links (a, b) of the ids of different lines of docs (doc_id, text) within MAX_EDITS edits.
 
-    texts = lines_of(docs).select("id", F.col("text").alias("line")).join(sized(wanted), "id", "left_semi").dropDuplicates(["id"])
-    texts = materialize(texts, "line-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+    They connect whatever the links of all pairs connect, and every line with a link is in one; a key gives fewer than
+    it has lines.
+    """
+    texts = docs.select("text")
+    met = texts.mapInArrow(_keys, "key long, id long, filed boolean").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("filed").alias("any"))
+    met = materialize(met.where("any and lo <> hi").select("key"), "line-keys")
+    members = texts.mapInArrow(_members, "key long, id binary, filed boolean, signature long, chars long").join(sized(met), "key")
+    members = materialize(members.distinct(), "line-members")
+    wanted = materialize(members.select("id").distinct(), "line-ids")
+    lines = lines_of(docs).select("id", "text").join(sized(wanted), "id", "left_semi").dropDuplicates(["id"])
+    lines = materialize(lines, "line-texts").hint("merge")
+    return dealt(members, F.col("chars"), lines).drop("chars").mapInArrow(_forests, "a binary, b binary")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -240,7 +281,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def without_dropped(docs: DataFrame) -> DataFrame:
-    """docs with dropped lines taken out of text."""
+    """docs with dropped lines taken out of text. Null texts stay null; other columns are kept; equal rows are treated alike."""
     plan = deduplicated(docs).select(F.col("doc_id").alias("__line_doc"), F.col("dropped").alias("__line_drop"))
     parts = F.expr("filter(split(text, '\n'), (x, i) -> not array_contains(__line_drop, i))")
     joined = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(F.col("__line_doc")))
@@ -248,4 +289,5 @@ def without_dropped(docs: DataFrame) -> DataFrame:
 
 
 def op7_segment_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deduplicated on all documents; nulls, repeats, ties and an empty table as there."""
     return deduplicated(read(spark, sf_dir, "documents"))

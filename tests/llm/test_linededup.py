@@ -100,3 +100,40 @@ def test_query_equals_brute_force_on_a_fixture(spark):
     }
     some = [(r.doc_id, r.text) for r in docs.collect() if len(r.text) < 1500]
     assert ours(spark.createDataFrame(some, "doc_id long, text string")) == brute(some)
+
+
+def substituted(base, n):
+    """n different lines, each one substitution from base."""
+    return [base[:k] + c + base[k + 1 :] for c in "0123456789" for k in range(len(base))][:n]
+
+
+@pytest.mark.parametrize("n", [100, 400])
+def test_links_grow_with_the_lines_of_a_group(spark, n):
+    base = "the quick brown fox jumps over the lazy dog and goes on"
+    lines = substituted(base, n)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(7)
+    links = [tuple(r) for r in ld.near_lines(docs).collect()]
+    root = {bytes(x): bytes(x) for x in ld.line_ids(lines)}
+    for _ in lines:
+        for a, b in links:
+            root[bytes(a)] = root[bytes(b)] = min(root[bytes(a)], root[bytes(b)])
+    assert len(set(root.values())) == 1
+    assert len(links) <= 12 * n
+    assert sum(r.n_dropped for r in ld.deduplicated(docs).collect()) == n - 1
+
+
+def test_large_keys_are_dealt_in_blocks(spark, monkeypatch):
+    """Cells of a few lines: all blocks together lose no link, long chains and far members included."""
+    from plyforge.llm import common
+
+    rng = random.Random(2)
+    monkeypatch.setattr(common, "CELL_ROWS", 6)
+    monkeypatch.setattr(ld, "VERIFIED", 3)
+    head, lines = "a frequent beginning of many lines, ", []
+    for _ in range(12):
+        line = head + "".join(rng.choice("abcdefgh ") for _ in range(20))
+        for _ in range(rng.randint(1, 9)):
+            lines.append(line)
+            line = edited(rng, line, rng.choice([1, 2, 2, 3]))
+    docs = [(i, x) for i, x in enumerate(lines)]
+    assert ours(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
