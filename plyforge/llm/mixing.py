@@ -4,13 +4,15 @@ A source's rows, in hash order, are packed into blocks of equal bytes. Target we
 cycle of slots; block k of a source with c blocks in a cycle of q slots is released at floor(k q / c) and due at
 ceil((k + 1) q / c), and the earliest deadline among the released goes next. Weights fill the cycle exactly, so every
 block meets its window and, while no source has run out, each source is within one block of its share at every slot.
-The schedule repeats from cycle to cycle: only one cycle is worked out, whatever the data's size.
+The schedule repeats from cycle to cycle: only one cycle is worked out, whatever the data's size. That is done on the
+driver, which so holds a row a source and four slots a source; every source has a weight of its own.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +24,6 @@ BLOCK_BYTES = 256 * 1024
 CYCLE = 1024
 #: Default targets are byte shares to this power: small sources weigh more than their share.
 TEMPER = 0.7
-#: Sources with a weight of their own; the smallest beyond these share one, as the schedule is worked out on the driver.
-MAX_SOURCES = 10_000
-#: The stratum of sources beyond MAX_SOURCES.
-REST = "\x00rest"
 #: Rows that are put in order together, on average.
 CELL_ROWS = 2000
 
@@ -46,20 +44,21 @@ def blocks_in_cycle(weights: dict[str, float], cycle: int = CYCLE) -> dict[str,
 
 
 def pfair(counts: dict[str, int]) -> list[tuple[str, int]]:
-    """The (source, block) of each slot of a cycle: earliest deadline first among the released blocks."""
+    """The (source, block) of each slot of a cycle: earliest deadline first among the released blocks, then the least name."""
     cycle = sum(counts.values())
-    waiting = [(0, -(-cycle // c), s, 0) for s, c in counts.items()]
+    names = sorted(counts)
+    waiting = [(0, -(-cycle // counts[s]), i, 0) for i, s in enumerate(names)]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
+    ready: list[tuple[int, int, int]] = []
     slots = []
     for t in range(cycle):
         while waiting and waiting[0][0] <= t:
-            _, due, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, s, k))
-        _, s, k = heapq.heappop(ready)
-        slots.append((s, k))
-        if k + 1 < counts[s]:
-            heapq.heappush(waiting, ((k + 1) * cycle // counts[s], -(-(k + 2) * cycle // counts[s]), s, k + 1))
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
+        _, i, k = heapq.heappop(ready)
+        c = counts[names[i]]
+        slots.append((names[i], k))
+        if k + 1 < c:
+            heapq.heappush(waiting, ((k + 1) * cycle // c, -(-(k + 2) * cycle // c), i, k + 1))
     return slots
 
 
@@ -67,11 +66,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: i
     """(doc_id, source, text_hash, size, block, slot, position, on_target) of each row of docs (doc_id, text, source).
 
     position (from 0, gapless) is the row's place in the mix. A row is in the block in which its first byte falls.
-    on_target: no source (the smallest beyond MAX_SOURCES count as one) has run out before the row's slot; who wants
-    the targets to hold for the whole mix takes these rows only.
+    on_target: no source has run out before the row's slot; who wants the targets to hold for the whole mix takes these
+    rows only.
     weights: targets by source; sources that it lacks share the weight of the least. None: byte shares to the power
     TEMPER. Every row is used once: when a source runs out, the others go on in proportion. A null source counts as
-    the empty name. Equal rows are ordered arbitrarily among themselves. No rows: no rows.
+    the empty name, a null text as empty. Rows that are equal in doc_id, text and source lie next to each other in
+    their source. Other columns are ignored, whatever their names. No rows: no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -79,39 +79,36 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: i
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.xxhash64(text).alias("text_hash"), row_size().alias("size"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("h"),
     )
-    slim = materialize(slim, "mix")
-    sums = slim.groupBy("source").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    found = sums.orderBy(F.desc("bytes"), "source").limit(MAX_SOURCES + 1).collect()  # bounded: a row a source
-    own = found[:MAX_SOURCES]
-    stratum = F.col("source")
-    if len(found) > len(own):
-        stratum = F.when(F.col("source").isin([r.source for r in own]), F.col("source")).otherwise(F.lit(REST))
-        rest = sums.where(~F.col("source").isin([r.source for r in own])).agg(F.lit(REST).alias("source"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).first()
-        own = [*own, rest]
-    if not own:
+    # Equal rows are one row with their number until the end, so that no cell fills up with copies.
+    slim = materialize(slim.groupBy("doc_id", "source", "text_hash", "size", "h").agg(F.count("*").alias("copies")), "mix")
+    sums = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.count("*").alias("n")).collect()  # a row a source
+    if not sums:
         own_weights = {"": 1.0}
     elif weights is None:
-        own_weights = {r.source: float(r.bytes) ** TEMPER for r in own}
+        own_weights = {r.source: float(r.bytes) ** TEMPER for r in sums}
     else:
-        own_weights = {r.source: weights.get(r.source, min(weights.values(), default=1.0)) for r in own}
-    counts = blocks_in_cycle(own_weights, cycle)
+        own_weights = {r.source: weights.get(r.source, min(weights.values(), default=1.0)) for r in sums}
+    counts, rows_of = blocks_in_cycle(own_weights, cycle), {r.source: r.n for r in sums}
     slots = pfair(counts)
     cycle = len(slots)
-    plan = spark.createDataFrame([(s, k, t, counts[s]) for t, (s, k) in enumerate(slots)], "stratum string, k long, t long, per_cycle long")
-    strata = spark.createDataFrame([(s, max(1, -(-(next((r.n for r in own if r.source == s), 1)) // CELL_ROWS)), c) for s, c in counts.items()], "stratum string, cells long, per_cycle long")
-
-    # Offsets inside each stratum: cells by hash, their totals prefix-summed, running sums inside the cells.
-    rows = slim.withColumn("stratum", stratum).join(F.broadcast(strata), "stratum").withColumn("cell", F.expr("pmod(h, cells)"))
-    earlier = Window.partitionBy("stratum").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy("stratum", "cell").agg(F.sum("size").alias("bytes"))
-    cells = cells.select("stratum", "cell", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("cell_start"))
-    inside = Window.partitionBy("stratum", "cell").orderBy("h", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(cells, ["stratum", "cell"])
-    rows = rows.withColumn("start", F.col("start") + F.col("cell_start")).withColumn("block", F.expr(f"start div {block_bytes}L"))
-    rows = rows.withColumn("k", F.expr("block % per_cycle")).withColumn("turn", F.expr("block div per_cycle")).drop("per_cycle", "cells", "cell_start")
-    plan = plan.drop("per_cycle")
-    placed = rows.join(F.broadcast(plan), ["stratum", "k"])  # as many rows as the cycle has slots
-    placed = materialize(placed.select("doc_id", "source", "stratum", "text_hash", "size", "block", "turn", "t", "start"), "placed")
+    plan = spark.createDataFrame(pa.table({"source": [s for s, _ in slots], "k": pa.array([k for _, k in slots], pa.int64()), "t": pa.array(range(cycle), pa.int64())}))
+    names = list(counts)
+    sources = spark.createDataFrame(
+        pa.table({"source": names, "cells": pa.array([-(-rows_of.get(s, 1) // CELL_ROWS) for s in names], pa.int64()), "per_cycle": pa.array([counts[s] for s in names], pa.int64())})
+    )
+
+    # Offsets inside each source: cells by hash, their totals prefix-summed, running sums inside the cells.
+    rows = slim.join(sized(sources), "source").withColumn("cell", F.expr("pmod(h, cells)")).withColumn("bytes", F.col("size") * F.col("copies"))
+    earlier = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("source", "cell").agg(F.sum("bytes").alias("bytes"))
+    cells = cells.select("source", "cell", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("cell_start"))
+    inside = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("first", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(cells, ["source", "cell"])
+    rows = rows.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1L)")))
+    rows = rows.withColumn("start", F.expr("cell_start + first + copy * size")).withColumn("block", F.expr(f"start div {block_bytes}L"))
+    rows = rows.withColumn("k", F.expr("block % per_cycle")).withColumn("turn", F.expr("block div per_cycle"))
+    placed = rows.join(sized(plan), ["source", "k"])
+    placed = materialize(placed.select("doc_id", "source", "text_hash", "size", "block", "turn", "t", "start"), "placed")
 
     # Positions: rows of the cycles before, of the slots before in the cycle, and before in the slot.
     per_slot = placed.groupBy("turn", "t").agg(F.count("*").alias("n"))
@@ -119,9 +116,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: i
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per_turn = per_turn.select("turn", before(Window.orderBy("turn")).alias("turn_rows"))  # a row for cycle * block_bytes of input
     per_slot = per_slot.select("turn", "t", before(Window.partitionBy("turn").orderBy("t")).alias("slot_rows")).join(per_turn, "turn")
-    inside = F.row_number().over(Window.partitionBy("turn", "t").orderBy("start", "doc_id", "text_hash")) - 1
+    inside = F.row_number().over(Window.partitionBy("turn", "t").orderBy("source", "start")) - 1
     slot = F.col("turn") * cycle + F.col("t")
-    full = placed.groupBy("stratum").agg(F.max(slot).alias("last")).agg(F.min("last")).first()[0]  # one number
+    full = placed.groupBy("source").agg(F.max(slot).alias("last")).agg(F.min("last")).first()[0]  # one number
     out = placed.withColumn("i", inside).join(per_slot, ["turn", "t"])
     return out.select(
         "doc_id", "source", "text_hash", "size", "block", slot.alias("slot"),
@@ -130,13 +127,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: i
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of documents without the texts' hashes; nulls, repeated rows and an empty table as in mix."""
     return mix(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: all documents, in the order of the mix: files, and rows in them, follow position.
 
-    Rows that repeat an id and text stay together at the first one's position.
+    Rows that repeat an id and text stay together at the first one's position. The order is the files', as the stage
+    returns the columns of documents and so has none for the position. Nulls, empty tables and clashing names: see mix.
     """
     places = materialize(mix(docs).groupBy("doc_id", "text_hash").agg(F.min("position").alias("position")), "places")
     places = places.select(F.col("doc_id").alias("__mix_id"), F.col("text_hash").alias("__mix_text"), F.col("position").alias("__mix_position"))

@@ -66,11 +66,68 @@ def test_edges(spark):
     assert mixing.mix(docs, {}).count() == 5
 
 
-def test_many_sources_share_a_stratum(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 5)
-    docs = spark.createDataFrame([(i, "t" * i, f"s{i % 20}") for i in range(200)], "doc_id long, text string, source string")
-    got = mixing.mix(docs, block_bytes=64).collect()
-    assert sorted(r.position for r in got) == list(range(200)) and len({r.source for r in got}) == 20
+def plain_mix(rows, order, weights, block_bytes, cycle):
+    """{row index: (block, slot, position)}: blocks of each source's rows in the given order, slots chosen one by one."""
+    counts = mixing.blocks_in_cycle(weights, cycle)
+    q = sum(counts.values())
+    blocks, ends = {}, dict.fromkeys(counts, 0)
+    for i in order:
+        _, text, source = rows[i]
+        blocks.setdefault((source, ends[source] // block_bytes), []).append(i)
+        ends[source] += len((text or "").encode()) + 1
+    slot_of = {}
+    done = dict.fromkeys(counts, 0)
+    for t in range(q):  # of the released blocks that are left, the one due first
+        free = [(-(-(done[s] + 1) * q // c), s) for s, c in counts.items() if done[s] < c and done[s] * q // c <= t]
+        _, s = min(free)
+        slot_of[s, done[s]] = t
+        done[s] += 1
+    at = {b: b[1] // counts[b[0]] * q + slot_of[b[0], b[1] % counts[b[0]]] for b in blocks}
+    out, position = {}, 0
+    for b in sorted(blocks, key=at.get):
+        for i in blocks[b]:
+            out[i] = (b[1], at[b], position)
+            position += 1
+    return out
+
+
+@pytest.mark.parametrize("n_sources", [1, 3, 30])
+def test_positions_equal_a_plain_scheduler(spark, monkeypatch, n_sources):
+    monkeypatch.setattr(mixing, "CELL_ROWS", 20)
+    rng = random.Random(n_sources)
+    rows = [(i, "x" * rng.randint(0, 90), f"s{int(rng.random() ** 2 * n_sources)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {f"s{k}": rng.random() + 0.01 for k in range(n_sources)}
+    got = {r.doc_id: (r.block, r.slot, r.position) for r in mixing.mix(docs, weights, block_bytes=150, cycle=16).collect()}
+    # The order inside a source: cells by the hash of id and text, then that hash.
+    h = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) as h").collect()}
+    per = {s: sum(r[2] == s for r in rows) for _, _, s in rows}
+    order = sorted(h, key=lambda i: (h[i] % -(-per[rows[i][2]] // 20), h[i]))
+    present = {s: weights[s] for s in per}
+    assert got == plain_mix(rows, order, present, 150, 16)
+
+
+def test_every_source_has_its_own_weight(spark):
+    """Thousands of sources: none shares a weight, none is late or early by a block."""
+    n = 3000
+    weights = {f"s{k:05d}": 1.0 + k % 7 for k in range(n)}
+    docs = spark.range(n * 3).selectExpr("id as doc_id", "'four' as text", f"format_string('s%05d', id % {n}) as source")
+    got = mixing.mix(docs, weights, block_bytes=1).collect()
+    assert sorted(r.position for r in got) == list(range(3 * n)) and len({r.source for r in got}) == n
+    counts = mixing.blocks_in_cycle(weights)
+    q = sum(counts.values())
+    assert len(set(counts.values())) > 3
+    assert all(abs(counts[s] - w / sum(weights.values()) * q) <= 1 for s, w in weights.items())
+    for r in got:
+        c = counts[r.source]
+        k = r.block % c
+        assert k * q // c <= r.slot % q < -(-(k + 1) * q // c)
+
+
+def test_a_row_repeated_many_times(spark):
+    docs = spark.range(20_000).selectExpr("7L as doc_id", "'same' as text", "'a' as source").unionByName(spark.createDataFrame([(1, "x", "b")], "doc_id long, text string, source string"))
+    got = mixing.mix(docs, block_bytes=1000).collect()
+    assert sorted(r.position for r in got) == list(range(20_001))
 
 
 def test_stage_writes_rows_in_order(spark):
