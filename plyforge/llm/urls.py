@@ -1,16 +1,17 @@
 """URL filters: explicit rules first, then a path-template tree judged by smoothed labelled purity.
 
 Segments that are numbers, hexadecimal strings or dates are generalised by their form. Then, level by level and host by
-host, a segment stays literal only if it has a fair share of its branch's pages; the others become a wildcard. From the
-deepest level up, sibling branches that differ in one literal only and whose labelled rates of bad pages don't differ
-significantly are merged. A template whose smoothed share of good pages is too low is rejected. Everything runs on
-counts by generalised path; pages themselves are joined to their template once.
+host, a segment stays literal only if it has pages enough; the others become a wildcard. From the deepest level up,
+sibling branches that differ in one literal only and whose labelled rates of bad pages don't differ significantly are
+merged: a sibling is compared with all of the branch so far and with its first. A template whose smoothed share of good
+pages is too low is rejected. The tree is as deep as pages share paths. Everything runs on counts by generalised path;
+pages themselves are joined to their template once. Wildcards and merged segments begin with #, which no path holds.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyforge.llm.common import materialize, read, sized
@@ -23,10 +24,8 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Levels of a bounded tree; what lies deeper is one wildcard.
-LEVELS = 6
-#: A literal segment needs this many pages, and in a bounded tree this share of its branch's.
-MIN_PAGES, MIN_SHARE = 5, 0.02
+#: A literal segment needs this many pages.
+MIN_PAGES = 5
 #: Siblings merge while their bad rates lie within this many standard errors.
 SIMILAR = 1.96
 #: Templates with a smoothed purity below MIN_PURITY are rejected; STRENGTH labelled pages' worth of prior.
@@ -56,21 +55,21 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], what:
     return out
 
 
-def generalised(path: Column, levels: int | None = LEVELS) -> Column:
-    """A path's segments, variable ones by form: <date>, <num>, <hex> with what follows a dot; at most levels, then **.
-
-    levels None: all segments.
-    """
+def generalised(path: Column) -> Column:
+    """A path's segments, variable ones by form: #date, #num, #hex with what follows a dot."""
     form = lambda s: (
-        F.when(s.rlike(r"^\d{4}-\d\d?-\d\d?$"), F.lit("<date>"))
-        .when(s.rlike(r"^\d+(\.[A-Za-z]+)?$"), F.regexp_replace(s, r"^\d+", "<num>"))
-        .when(s.rlike(r"^(?=.*\d)[0-9A-Fa-f-]{8,}(\.[A-Za-z]+)?$"), F.regexp_replace(s, r"^[0-9A-Fa-f-]+", "<hex>"))
+        F.when(s.rlike(r"^\d{4}-\d\d?-\d\d?$"), F.lit("#date"))
+        .when(s.rlike(r"^\d+(\.[A-Za-z]+)?$"), F.regexp_replace(s, r"^\d+", "#num"))
+        .when(s.rlike(r"^(?=.*\d)[0-9A-Fa-f-]{8,}(\.[A-Za-z]+)?$"), F.regexp_replace(s, r"^[0-9A-Fa-f-]+", "#hex"))
         .otherwise(s)
     )
-    all_ = F.transform(F.split(F.regexp_replace(path, r"^/", ""), "/"), form)
-    if levels is None:
-        return all_
-    return F.when(F.size(all_) > levels, F.concat(F.slice(all_, 1, levels), F.array(F.lit("**")))).otherwise(all_)
+    return F.transform(F.split(F.regexp_replace(path, r"^/", ""), "/"), form)
+
+
+def shown(segments: Column) -> Column:
+    """A template as text: <num>, <hex>, <date>, * and (a|b) where generalised segments stand."""
+    plain = F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, r"^#(num|hex|date)", "<$1>"), "^#|#(?=[|])", ""))
+    return F.concat(F.lit("/"), F.array_join(plain, "/"))
 
 
 def differ(m: int, b: int, other_m: int, other_b: int) -> bool:
@@ -93,10 +92,13 @@ def pooled_branches(counts: pd.DataFrame) -> pd.DataFrame:
     return counts.assign(branch=out)[["host", "hole", "m", "b", "branch"]]
 
 
+FORMS = ("#num", "#hex", "#date")
+
+
 def with_literals(known: DataFrame) -> tuple[DataFrame, int]:
-    """known with rare segments of cur as *, and the number of levels that have literals; see template_tree."""
-    forms = F.col("seg").isin("<num>", "<hex>", "<date>")
-    closed = lambda level: F.transform("cur", lambda s, i: F.when((i >= level - 1) & ~s.isin("<num>", "<hex>", "<date>"), F.lit("*")).otherwise(s))
+    """known with rare segments of cur as #*, and the number of levels that have literals; see template_tree."""
+    forms = F.col("seg").isin(*FORMS)
+    closed = lambda level: F.transform("cur", lambda s, i: F.when((i >= level - 1) & ~s.isin(*FORMS), F.lit("#*")).otherwise(s))
     done, level = [], 1
     while True:
         done.append(known.where(F.size("cur") < level).select("host", "pre", "n", "m", "b", "cur"))
@@ -108,7 +110,7 @@ def with_literals(known: DataFrame) -> tuple[DataFrame, int]:
         went = materialize(went, "literals")
         told = materialize(at.join(sized(went), ["host", "prefix", "seg"], "left"), "paths")
         done.append(told.where("stays is null").select("host", "pre", "n", "m", "b", closed(level).alias("cur")))
-        replaced = F.transform("cur", lambda s, i: F.when((i == level - 1) & ~F.col("stays"), F.lit("*")).otherwise(s))
+        replaced = F.transform("cur", lambda s, i: F.when((i == level - 1) & ~F.col("stays"), F.lit("#*")).otherwise(s))
         known = told.where("stays is not null").select("host", "pre", "n", "m", "b", replaced.alias("cur"))
         if known.isEmpty():
             break
@@ -119,65 +121,39 @@ def with_literals(known: DataFrame) -> tuple[DataFrame, int]:
     return materialize(out, "paths"), level - 1
 
 
-def template_tree(pages: DataFrame, pooled: bool = False, bounded: bool = True) -> DataFrame:
-    """(host, pre, template, n, m, b) of each host and generalised path pre of pages (host, pre, labelled, bad).
+def template_tree(pages: DataFrame) -> DataFrame:
+    """(host, pre, cur, n, m, b) of each host and generalised path pre of pages (host, pre, labelled, bad).
 
-    template (segments joined by /) is pre with rare segments as * and merged ones as (a|b). n, m and b are the whole
-    template's pages, labelled pages and bad pages. Where labels are few, branches look alike and merge: with pooled a
-    sibling is compared with all of the branch so far, else with its neighbour in the order of rates only. bounded: a
-    literal also needs MIN_SHARE of its branch. Else MIN_PAGES decide, and a path leaves the loop over levels where its
-    branch has fewer, as nothing below can be a literal: a long path costs levels only as far as others share it.
+    cur, the template, is pre with rare segments as #* and merged ones as #(a|b). n, m and b are the whole template's
+    pages, labelled pages and bad pages. Where labels are few, branches look alike and merge. A path leaves the loop over
+    levels where its branch has fewer than MIN_PAGES pages, as nothing below can be a literal: a long path costs levels
+    only as far as others share it.
     """
     known = pages.groupBy("host", "pre").agg(F.count("*").alias("n"), F.sum("labelled").alias("m"), F.sum("bad").alias("b"))
-    known = materialize(known.withColumn("cur", F.col("pre")), "paths")
-    if bounded:
-        depth = known.agg(F.max(F.size("pre"))).first()[0] or 0  # LEVELS + 1 at most
-        for level in range(1, depth + 1):
-            at = known.withColumn("seg", F.get("cur", F.lit(level - 1))).withColumn("prefix", F.array_join(F.slice("cur", 1, level - 1), "/"))
-            children = at.where("seg is not null").groupBy("host", "prefix", "seg").agg(F.sum("n").alias("c"))
-            nodes = children.groupBy("host", "prefix").agg(F.sum("c").alias("total"))
-            fair = F.col("seg").isin("<num>", "<hex>", "<date>") | (F.col("c") >= MIN_PAGES) & (F.col("c") >= MIN_SHARE * F.col("total"))
-            literal = materialize(children.join(nodes, ["host", "prefix"]).where(fair).select("host", "prefix", "seg", F.lit(True).alias("stays")), "literals")
-            replaced = F.transform("cur", lambda s, i: F.when((i == level - 1) & F.col("stays").isNull(), F.lit("*")).otherwise(s))
-            known = materialize(at.join(sized(literal), ["host", "prefix", "seg"], "left").select("host", "pre", "n", "m", "b", replaced.alias("cur")), "paths")
-    else:
-        known, depth = with_literals(known)
+    known, depth = with_literals(materialize(known.withColumn("cur", F.col("pre")), "paths"))
     for level in range(depth, 0, -1):
         stats = known.groupBy("host", "cur").agg(F.sum("m").alias("m"), F.sum("b").alias("b")).where(F.size("cur") >= level)
         seg = F.get("cur", F.lit(level - 1))
-        stats = stats.withColumn("seg", seg).withColumn("hole", F.array_join(F.transform("cur", lambda s, i: F.when(i == level - 1, F.lit("\x00")).otherwise(s)), "/"))
-        stats = stats.where("not startswith(seg, '<') and seg not in ('*', '**')")
-        if pooled:
-            stats = materialize(stats, "siblings")
-            counts = stats.groupBy("host", "hole", "m", "b").agg(F.count("*").alias("c"))
-            branches = counts.groupBy("host", "hole").applyInPandas(pooled_branches, "host string, hole string, m long, b long, branch long")
-            stats = materialize(stats.join(sized(materialize(branches, "branches")), ["host", "hole", "m", "b"]), "siblings")
-        else:
-            rate = (F.col("b") + 0.5) / (F.col("m") + 1)
-            order = Window.partitionBy("host", "hole").orderBy("rate", "seg")
-            stats = stats.withColumn("rate", rate)
-            gap = F.col("rate") - F.lag("rate").over(order)
-            both_m, both_b = F.col("m") + F.lag("m").over(order), F.col("b") + F.lag("b").over(order)
-            share = (both_b + 1) / (both_m + 2)
-            error = F.sqrt(share * (1 - share) * (1 / (F.col("m") + 1) + 1 / (F.lag("m").over(order) + 1)))
-            stats = stats.withColumn("new", F.when(gap > SIMILAR * error, 1).otherwise(0))
-            stats = materialize(stats.withColumn("branch", F.sum("new").over(order)), "siblings")
+        hole = F.array_join(F.transform("cur", lambda s, i: F.when(i == level - 1, F.lit("#")).otherwise(s)), "/")
+        stats = materialize(stats.withColumn("seg", seg).withColumn("hole", hole).where("not startswith(seg, '#')"), "siblings")
+        counts = stats.groupBy("host", "hole", "m", "b").agg(F.count("*").alias("c"))
+        branches = counts.groupBy("host", "hole").applyInPandas(pooled_branches, "host string, hole string, m long, b long, branch long")
+        stats = materialize(stats.join(sized(materialize(branches, "branches")), ["host", "hole", "m", "b"]), "siblings")
         named = stats.groupBy("host", "hole", "branch").agg(F.count("*").alias("k"), F.min("seg").alias("least"), F.bit_xor(F.xxhash64("seg")).alias("all")).where("k > 1")
         of = stats.join(named, ["host", "hole", "branch"])
         few = of.where(F.col("k") <= LISTED).groupBy("host", "hole", "branch").agg(F.array_sort(F.collect_set("seg")).alias("segs"))
-        few = few.select("host", "hole", F.explode("segs").alias("seg"), F.concat(F.lit("("), F.array_join("segs", "|"), F.lit(")")).alias("union"))
-        many = of.where(F.col("k") > LISTED).select("host", "hole", "seg", F.format_string("(%s|+%d:%x)", "least", F.col("k") - 1, "all").alias("union"))
-        to = few.unionAll(many)
-        to = materialize(to, "merges")
-        here = known.withColumn("seg", seg).withColumn("hole", F.array_join(F.transform("cur", lambda s, i: F.when(i == level - 1, F.lit("\x00")).otherwise(s)), "/"))
+        union = F.concat(F.lit("#("), F.array_join(F.transform("segs", lambda s: F.replace(s, F.lit("|"), F.lit("#|"))), "|"), F.lit(")"))
+        few = few.select("host", "hole", F.explode("segs").alias("seg"), union.alias("union"))
+        many = of.where(F.col("k") > LISTED).select("host", "hole", "seg", F.format_string("#(%s|+%d:%x)", "least", F.col("k") - 1, "all").alias("union"))
+        to = materialize(few.unionAll(many), "merges")
+        here = known.withColumn("seg", seg).withColumn("hole", hole)
         replaced = F.transform("cur", lambda s, i: F.when((i == level - 1) & F.col("union").isNotNull(), F.col("union")).otherwise(s))
         known = materialize(here.join(sized(to), ["host", "hole", "seg"], "left").select("host", "pre", "n", "m", "b", replaced.alias("cur")), "paths")
-    of = known.withColumn("template", F.concat(F.lit("/"), F.array_join("cur", "/")))
-    totals = of.groupBy("host", "template").agg(*(F.sum(x).alias(x) for x in "nmb"))
-    return of.select("host", "pre", "template").join(totals, ["host", "template"])
+    totals = known.groupBy("host", "cur").agg(*(F.sum(x).alias(x) for x in "nmb"))
+    return known.select("host", "pre", "cur").join(totals, ["host", "cur"])
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, label_key: Column, rules: list[tuple[str, str, str]] = RULES, pooled: bool = False, bounded: bool = True) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, label_key: Column, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of each row of pages (page_id, url).
 
     labels (doc_id, quality, toxic): a page is bad if its label has quality 0 or toxic 1; label_key gives its doc_id
@@ -185,22 +161,21 @@ def judge_urls(pages: DataFrame, labels: DataFrame, label_key: Column, rules: li
     pages, smoothed towards its host's, and that towards the whole table's; a template without a labelled page isn't
     rejected, whatever its purity. A null url, or one
     without ://, has empty host and path, and the template / of the empty host. Repeated rows stay; extra columns are
-    ignored. An empty table gives no rows. pooled, bounded: see template_tree;
-    paths deeper than LEVELS end in ** there if bounded.
+    ignored. An empty table gives no rows.
     """
     url = F.col("url").cast("string")
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    slim = slim.withColumn("key", label_key.cast("long")).withColumn("pre", generalised(F.col("path"), LEVELS if bounded else None))
+    slim = slim.withColumn("key", label_key.cast("long")).withColumn("pre", generalised(F.col("path")))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     judged = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max(bad).alias("bad"), F.lit(1).alias("labelled"))
     seen = slim.select("host", "pre", "key").join(judged, "key", "left").select("host", "pre", F.coalesce("labelled", F.lit(0)).alias("labelled"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    tree = materialize(template_tree(seen, pooled, bounded), "tree")
-    by_host = tree.select("host", "template", "m", "b").distinct().groupBy("host").agg(F.sum("m").alias("host_m"), F.sum("b").alias("host_b"))
+    tree = materialize(template_tree(seen), "tree")
+    by_host = tree.select("host", "cur", "m", "b").distinct().groupBy("host").agg(F.sum("m").alias("host_m"), F.sum("b").alias("host_b"))
     all_m, all_b = by_host.agg(F.sum("host_m"), F.sum("host_b")).first()
     base = (all_b or 0) / all_m if all_m else 0.0
     host_rate = (F.col("host_b") + STRENGTH * base) / (F.col("host_m") + STRENGTH)
     rate = (F.col("b") + STRENGTH * host_rate) / (F.col("m") + STRENGTH)
-    tree = materialize(tree.join(by_host, "host").select("host", "pre", "template", F.round(1 - rate, 9).alias("purity"), (F.col("m") > 0).alias("known")), "judged")
+    tree = materialize(tree.join(by_host, "host").select("host", "pre", shown(F.col("cur")).alias("template"), F.round(1 - rate, 9).alias("purity"), (F.col("m") > 0).alias("known")), "judged")
     found = slim.join(sized(tree), ["host", "pre"])
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules, 0), rule_of(F.col("host"), F.col("path"), rules, 1)
     by_method = F.when(F.col("known") & (F.col("purity") < MIN_PURITY), F.lit("block")).otherwise(F.lit("allow"))
@@ -213,4 +188,5 @@ def last_number(path: Column) -> Column:
 
 
 def op5_path_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), last_number(F.col("path")), pooled=True, bounded=False)
+    """judge_urls on all pages; nulls, repeated rows and an empty table as there."""
+    return judge_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), last_number(F.col("path")))

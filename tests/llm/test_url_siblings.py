@@ -16,7 +16,7 @@ def judged(spark, sections, **kw):
                 labels.append((i, int(k >= b), 0))
             i += 1
     got = urls.judge_urls(
-        spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), urls.last_number(F.col("path")), pooled=True, **kw
+        spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), urls.last_number(F.col("path")), **kw
     ).collect()
     out = {(r.path.split("/")[1], r.template, r.verdict) for r in got}
     assert len(out) == len(sections)
@@ -44,12 +44,12 @@ def test_many_merged_siblings_have_a_short_name(spark, monkeypatch):
 def test_small_sections_and_deep_segments_are_told_apart(spark):
     """A bad section with under a fiftieth of its host's pages, and one that differs at the eighth segment only."""
     deep = "a/b/c/d/e/f/"
-    got = judged(spark, [("big", 2000, 50, 5), ("small", 30, 30, 29), ("fine", 25, 25, 1)], bounded=False)
+    got = judged(spark, [("big", 2000, 50, 5), ("small", 30, 30, 29), ("fine", 25, 25, 1)])
     assert got["big"][1] == got["fine"][1] == "allow" and got["small"] == ("/small/<num>", "block")
     pages = [(i, f"https://d.org/{deep}{'x' if i % 2 else 'y'}/{i}") for i in range(60)] + [(60, "https://d.org/" + "q/" * 300 + "60")]
     frame = spark.createDataFrame(pages, "page_id long, url string")
     labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
-    rows = {r.page_id: r for r in urls.judge_urls(frame, labels, urls.last_number(F.col("path")), pooled=True, bounded=False).collect()}
+    rows = {r.page_id: r for r in urls.judge_urls(frame, labels, urls.last_number(F.col("path"))).collect()}
     assert len(rows) == 61 and rows[60].template == "/" + "*/" * 300 + "<num>"
     for i in range(60):
         assert (rows[i].template, rows[i].verdict) == ((f"/{deep}x/<num>", "block") if i % 2 else (f"/{deep}y/<num>", "allow"))

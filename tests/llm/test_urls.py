@@ -75,8 +75,18 @@ def test_planted_templates(spark):
     assert {r.template for r in got if r.host == "site.org"} == {"/(blog|news)/<date>/*/<num>", "/(casino|promo)/<date>/*/<num>"}
 
 
+WILD = "a wildcard or a merged segment"
+FORMS = [(WILD, "<num>"), (WILD, "<hex>"), (WILD, "<date>")]
+
+
+def far(m, b, other_m, other_b):
+    p = (b + other_b + 1) / (m + other_m + 2)
+    gap = abs((b + 0.5) / (m + 1) - (other_b + 0.5) / (other_m + 1))
+    return gap > urls.SIMILAR * (p * (1 - p) * (1 / (m + 1) + 1 / (other_m + 1))) ** 0.5
+
+
 def brute(pages, labels):
-    """(page_id, template, purity, verdict) by plain dictionaries."""
+    """(page_id, template, purity, verdict) by plain dictionaries, to any depth; pooled comparison of siblings."""
     bad = {}
     for d, q, t in labels:
         bad[d] = max(bad.get(d, 0), int(q == 0 or t == 1))
@@ -86,13 +96,12 @@ def brute(pages, labels):
         segs = []
         for s in re.sub(r"^/", "", path).split("/"):
             if re.fullmatch(r"\d{4}-\d\d?-\d\d?", s):
-                s = "<date>"
+                s = WILD, "<date>"
             elif re.fullmatch(r"\d+(\.[A-Za-z]+)?", s):
-                s = re.sub(r"^\d+", "<num>", s)
+                s = WILD, re.sub(r"^\d+", "<num>", s)
             elif re.fullmatch(r"(?=.*\d)[0-9A-Fa-f-]{8,}(\.[A-Za-z]+)?", s):
-                s = re.sub(r"^[0-9A-Fa-f-]+", "<hex>", s)
+                s = WILD, re.sub(r"^[0-9A-Fa-f-]+", "<hex>", s)
             segs.append(s)
-        segs = segs[: urls.LEVELS] + ["**"] * (len(segs) > urls.LEVELS)
         m = re.search(r"(\d{1,18})\D*$", path)
         rows.append([p, host, segs, bad.get(int(m[1])) if m else None, rule])
     depth = max((len(r[2]) for r in rows), default=0)
@@ -104,28 +113,34 @@ def brute(pages, labels):
                 child[at, r[2][k]] = child.get((at, r[2][k]), 0) + 1
                 node[at] = node.get(at, 0) + 1
         for r, at in [(r, (r[1], tuple(r[2][:k]))) for r in rows if len(r[2]) > k]:
-            n = child[at, r[2][k]]
-            if r[2][k] not in ("<num>", "<hex>", "<date>") and not (n >= urls.MIN_PAGES and n >= urls.MIN_SHARE * node[at]):
-                r[2] = [*r[2][:k], "*", *r[2][k + 1 :]]
+            if r[2][k] not in FORMS and child[at, r[2][k]] < urls.MIN_PAGES:
+                r[2] = [*r[2][:k], (WILD, "*"), *r[2][k + 1 :]]
     for k in reversed(range(depth)):
         sums = {}
         for r in rows:
-            if len(r[2]) > k and not r[2][k].startswith("<") and r[2][k] not in ("*", "**"):
+            if len(r[2]) > k and isinstance(r[2][k], str):
                 s = sums.setdefault((r[1], *r[2][:k], None, *r[2][k + 1 :]), {}).setdefault(r[2][k], [0, 0])
                 s[0] += r[3] is not None
                 s[1] += r[3] or 0
         union = {}
         for hole, segs in sums.items():
-            order = sorted(((b + 0.5) / (m + 1), s, m, b) for s, (m, b) in segs.items())
-            groups = [[order[0]]]
-            for x, y in zip(order, order[1:]):
-                p = (x[3] + y[3] + 1) / (x[2] + y[2] + 2)
-                far = y[0] - x[0] > urls.SIMILAR * (p * (1 - p) * (1 / (y[2] + 1) + 1 / (x[2] + 1))) ** 0.5
-                groups.append([y]) if far else groups[-1].append(y)
+            equal, none = {}, []
+            for s, (m, b) in sorted(segs.items()):
+                if m:
+                    equal.setdefault(((b + 0.5) / (m + 1), m, b), []).append(s)
+                else:
+                    none.append(s)
+            groups, pool, first = [none], None, None
+            for (_, m, b), names in sorted(equal.items()):
+                if pool is None or far(m, b, *pool) or far(m, b, *first):
+                    groups.append([])
+                    pool, first = (0, 0), (m, b)
+                groups[-1] += names
+                pool = pool[0] + m * len(names), pool[1] + b * len(names)
             for g in groups:
                 if len(g) > 1:
-                    for _, s, _, _ in g:
-                        union[hole, s] = "(" + "|".join(sorted(s for _, s, _, _ in g)) + ")"
+                    for s in g:
+                        union[hole, s] = (WILD, "(" + "|".join(sorted(g)) + ")")
         for r in rows:
             if len(r[2]) > k:
                 hole = (r[1], *r[2][:k], None, *r[2][k + 1 :])
@@ -141,7 +156,7 @@ def brute(pages, labels):
         m, b = of[host, tuple(segs)]
         h = (by_host[host][1] + urls.STRENGTH * base) / (by_host[host][0] + urls.STRENGTH)
         purity = round(1 - (b + urls.STRENGTH * h) / (m + urls.STRENGTH), 6)
-        out.add((p, "/" + "/".join(segs), purity, rule[1] if rule else "block" if m and purity < urls.MIN_PURITY else "allow"))
+        out.add((p, "/" + "/".join(x if isinstance(x, str) else x[1] for x in segs), purity, rule[1] if rule else "block" if m and purity < urls.MIN_PURITY else "allow"))
     return out
 
 
@@ -158,13 +173,32 @@ def test_random_trees_equal_brute_force(spark):
     pages, labels = [], []
     for i in range(1500):
         host = rng.choice(["a.org", "a.org", "b.a.org", "c.de"])
-        segs = [rng.choice(["x", "y", "z", "q", f"s{rng.randint(0, 400)}"]) for _ in range(rng.randint(0, 9))]
+        segs = [rng.choice(["x", "y", "z", "q", f"s{rng.randint(0, 400)}"]) for _ in range(rng.choice([0, 1, 2, 2, 3, 4, 9]))]
+        segs += ["deep"] * 7 + [rng.choice("xq")] if len(segs) == 4 else []
         pages.append((i, f"http://{host}/" + "/".join([*segs, str(i)]) + rng.choice(["", "/", ".html"])))
         if rng.random() < 0.6:
-            labels.append((i, int(rng.random() > (0.9 if "q" in segs[:2] else 0.1)), int(rng.random() < 0.05)))
+            labels.append((i, int(rng.random() > (0.9 if "q" in segs[:2] + segs[11:] else 0.1)), int(rng.random() < 0.05)))
     got = urls.judge_urls(
         spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), urls.last_number(F.col("path"))
     ).collect()
     want = brute(pages, labels)
     assert {(r.page_id, r.template, round(r.purity, 6), r.verdict) for r in got} == want
     assert {v for *_, v in want} == {"allow", "block"}
+
+
+def test_segments_that_look_like_wildcards_are_literals(spark):
+    """A path's own *, <num> and (a|b) are not the tree's."""
+    pages, labels, i = [], [], 0
+    for n in range(20):
+        for seg, bad in (("*", 1), (f"rare{n}", 0), ("<num>", 1), ("(x|y)", 1), ("x", 0), ("y", 0)):
+            pages.append((i, f"http://h.org/{seg}/a/{i}"))
+            labels.append((i, 1 - bad, 0))
+            i += 1
+    got = urls.judge_urls(
+        spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), urls.last_number(F.col("path"))
+    ).collect()
+    verdicts = {}
+    for r in got:
+        verdicts.setdefault((r.path.split("/")[1].rstrip("0123456789"), r.verdict), 0)
+    assert set(verdicts) == {("*", "block"), ("rare", "allow"), ("<num>", "block"), ("(x|y)", "block"), ("x", "allow"), ("y", "allow")}
+    assert {(r.page_id, r.template, round(r.purity, 6), r.verdict) for r in got} == brute(pages, labels)
