@@ -1,9 +1,9 @@
 """Token counts by a separator scan of flat token files.
 
 A flat file holds little-endian 16-bit token ids and nothing else: documents follow each other, each ended by a
-separator id. Files are read in blocks that know nothing of documents. Every block reports its separators' places and
-how many tokens stand before the first and after the last; a prefix scan over a file's blocks then tells each block
-how many documents end before it and where the open one began, and every document gets its number and token count.
+separator id. Files are read in blocks that know nothing of documents. Every block reports its separators' places; a
+prefix scan over the blocks' totals (their separators' number and the last one's place, a narrow row a block) tells each
+block how many documents end before it and where the open one began, and every document gets its number and token count.
 """
 
 from __future__ import annotations
@@ -32,19 +32,34 @@ SEAM = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 WIDTH = 2
 
 
+#: Schemes that Hadoop has under other names.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def filesystem(uri: str):
     """The file system of a URI and the path in it; executors write and read token files through it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("/", "file:")) else f"file://{uri}")
+    if "://" not in uri and not uri.startswith(("/", "file:")):
+        uri = f"file://{uri}"
+    scheme, at, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + at + rest)
+
+
+def ranks_of(vocabulary: str, separator: int = SEPARATOR) -> dict[bytes, int]:
+    """The vocabulary's ids, read where this is called; ValueError for ids that don't fit 16 bits, or a separator that is taken."""
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max([separator, *ranks.values()]) >= 1 << 8 * WIDTH or separator in ranks.values():
+        raise ValueError("ids have to be under 65,536 and the separator's id has to be free")
+    return ranks
 
 
-def encoder(vocabulary: str):
+def encoder(vocabulary: str | dict[bytes, int]):
     """A function from text to token ids, with the vocabulary's merges and no special tokens."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = ranks_of(vocabulary) if isinstance(vocabulary, str) else vocabulary
     return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
@@ -65,11 +80,13 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
 
     Every task writes a file of its own, under a new name at each attempt: only names that this table holds count, so a
     task that is run again leaves at most a file that nobody reads. A null text has no tokens, only its separator.
-    The table must be materialized once, as each evaluation writes files.
+    The table must be materialized once, as each evaluation writes files. The vocabulary is read here and sent to the
+    tasks, which need no such path.
     """
+    ranks = ranks_of(vocabulary, separator)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, (store, where) = encoder(vocabulary), filesystem(folder)
+        encode, (store, where) = encoder(ranks), filesystem(folder)
         store.create_dir(where, recursive=True)
         name, number, out = f"{uuid.uuid4().hex}.u16", 0, None
         try:
@@ -118,16 +135,16 @@ def scan(files: DataFrame, folder: str, separator: int = SEPARATOR, block_bytes:
 
     sized = files.select("file").distinct().mapInArrow(sizes, "file string, bytes long").where("bytes >= 2")
     parts = sized.select("file", F.explode(F.expr(f"sequence(0L, (bytes - 1) div {block}L)")).alias("block")).repartition("file", "block")
-    found = parts.mapInArrow(blocks, "file string, block long, n long, ends array<long>")
-    # The prefix scan: documents that end in earlier blocks, and the last separator before this block.
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = Window.partitionBy("file").orderBy(F.desc("block"))
-    stitched = (
-        found.withColumn("number", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).cast("long"))
-        .withColumn("open", F.coalesce(F.max(F.when(F.size("ends") > 0, F.element_at("ends", -1))).over(before) + 1, F.lit(0).cast("long")))
-        .withColumn("final", F.row_number().over(last) == 1)
-        .withColumn("total", F.col("block") * (block // WIDTH) + F.col("n"))
-    )
+    found = materialize(parts.mapInArrow(blocks, "file string, block long, n long, ends array<long>"), "separators")
+    # The prefix scan, over the blocks' totals only: documents that end in earlier blocks, and the last separator before this block.
+    totals = found.select("file", "block", "n", F.size("ends").alias("found"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
+    order = Window.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    scanned = totals.select(
+        "file", "block", F.coalesce(F.sum("found").over(before), F.lit(0)).cast("long").alias("number"),
+        F.coalesce(F.max("last").over(before) + 1, F.lit(0).cast("long")).alias("open"), F.lead("block").over(order).isNull().alias("final"),
+    )
+    stitched = found.join(scanned.hint("merge"), ["file", "block"]).withColumn("total", F.col("block") * (block // WIDTH) + F.col("n"))
     # A last block that ends without a separator closes the open document itself.
     tail = F.expr("final and (case when size(ends) > 0 then element_at(ends, -1) + 1 else open end) < total")
     ends = F.when(tail, F.concat("ends", F.array("total"))).otherwise(F.col("ends"))
