@@ -16,15 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.llm.common import read
+from plyforge.llm.common import read, sized
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 8, 6
-#: Documents of each language that the network is trained on, and of all together, about; windows and code points of each.
-SAMPLE, SAMPLE_ALL, SAMPLE_WINDOWS, SAMPLE_CHARS = 600, 6000, 6, 8_000
-#: Languages that it learns at most (the most frequent).
-LANGUAGES = 200
+#: Documents of each language that the network is trained on at most; of all together, while that leaves each language SAMPLE_LEAST;
+#: windows of each document, from its first code points. Every language is learned, however many there are.
+SAMPLE, SAMPLE_ALL, SAMPLE_LEAST, SAMPLE_WINDOWS, SAMPLE_CHARS = 600, 6000, 20, 6, 8_000
 EPOCHS, BATCH, RATE = 12, 64, 0.02
 LETTER = re.compile(r"[^\W\d_]")
 #: Windows that go through the network together.
@@ -125,23 +124,24 @@ class Network:
 
 
 def train(docs: DataFrame, learns, sample: int = SAMPLE) -> tuple[list[str], dict | None]:
-    """The languages and weights, from about sample rows of each lang among those for which learns (a Column) holds.
+    """The languages and weights, from at most sample rows of each lang among those for which learns (a Column) holds.
 
-    Rows are chosen by the hash of their id; many languages get fewer each. No such row: no languages.
+    These are the rows of the least hashes of id and text; many languages get fewer each. No such row: no languages.
     """
     rows = docs.where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return [], None
-    sample = min(sample, SAMPLE_ALL // len(counts))
-    chance = F.lit(0.0)
-    for r in counts:
-        chance = F.when(F.col("lang") == r.lang, F.lit(min(1.0, sample / r.n))).otherwise(chance)
-    picked = rows.where(F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1_000_000)) < chance * 1_000_000)
-    got = picked.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * sample * len(counts)).toPandas()  # bounded: see SAMPLE
-    got = got.sort_values(["lang", "doc_id", "text"])
+    sample = min(sample, max(SAMPLE_LEAST, SAMPLE_ALL // len(counts)))
+    # The hash of a lang's row is spread over [0, 1): the k least of n lie near k / n, so their rank is their hash times n.
+    h = (F.xxhash64(F.lit("langid"), "doc_id", "text").cast("double") / 2.0**64) + 0.5
+    share = rows.sparkSession.createDataFrame(list(counts.items()), "lang string, n long")
+    picked = rows.join(sized(share), "lang").withColumn("at", h * F.col("n")).where(F.col("at") < sample + 6 * sample**0.5 + 20)
+    picked = picked.select("doc_id", "lang", "at", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    got = picked.orderBy("at").limit(int(sample + 6 * sample**0.5 + 20) * 2 * len(counts)).toPandas()  # bounded: see SAMPLE
+    got = got.sort_values(["lang", "at", "doc_id", "text"]).groupby("lang").head(sample)
     names = sorted(set(got.lang))
     if not names:
         return [], None
@@ -206,6 +206,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify on all documents, learned from those not held out; nulls, repeats and an empty table as there."""
     docs = read(spark, sf_dir, "documents")
     names, par = train(docs, ~held_out() & F.col("doc_id").isNotNull())
     return identify(docs, names, par).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
