@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.llm.common import read, word_pieces
+from plyforge.llm.common import least_hashes, read, word_pieces
 
-#: Rows of the sample that the model is fitted on, of either quality, at most about.
+#: Labelled documents that the model is fitted on, of either quality, at most.
 SAMPLE = 1500
 #: Lines of a sample document that the fit takes, and code points of the sample's texts; decoding has no such bound.
 SAMPLE_LINES, SAMPLE_CHARS = 64, 20_000
@@ -173,19 +173,25 @@ def fit(x: np.ndarray, lengths: np.ndarray, bad: np.ndarray, rounds: int = 3, st
 
 
 def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> dict:
-    """The model from about sample documents of either quality, chosen by the hash of their id; DEFAULT without both."""
+    """The model from at most sample documents of either quality, those of the least hashes of their id; DEFAULT without both."""
     if labels is None:
         return DEFAULT
     judged = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     have = {r.quality: r.n for r in judged.groupBy("quality").agg(F.count("*").alias("n")).collect()}  # two rows
     if len(have) < 2:
         return DEFAULT
-    chance = F.when(F.col("quality") == 0, min(1.0, sample / have[0])).otherwise(min(1.0, sample / have[1]))
-    judged = judged.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000)) < chance * 1_000_000)
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
-    got = texts.join(F.broadcast(judged), "doc_id").select("doc_id", "text", "quality").limit(3 * sample).toPandas()  # bounded: see SAMPLE
-    got = got.sort_values(["doc_id", "text"])
-    parts = [(measure(t)[1][:SAMPLE_LINES], q) for t, q in zip(got.text, got.quality, strict=True)]
+    parts = []
+    for quality in (0, 1):
+        # Ids are chosen before texts are read; rows that repeat an id come with it, so those are bounded once more.
+        ids = least_hashes(judged.where(F.col("quality") == quality).select("doc_id", F.xxhash64(F.lit("sample"), "doc_id").alias("h")), sample)
+        if not len(ids):
+            return DEFAULT
+        chosen = docs.sparkSession.createDataFrame(ids[["doc_id"]])
+        rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.xxhash64(F.lit("sample"), "doc_id").alias("h"))
+        got = least_hashes(rows, 2 * sample).sort_values(["doc_id", "text"])  # bounded: see SAMPLE
+        parts += [(t, quality) for t in got.text]
+    parts = [(measure(t)[1][:SAMPLE_LINES], q) for t, q in parts]
     parts = [(x, q) for x, q in parts if len(x)]
     if len({q for _, q in parts}) < 2:
         return DEFAULT
@@ -197,6 +203,18 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 TOGETHER = 512
 
 
+def _decided(texts: pa.Array, emit: np.ndarray, step: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base figures (rows, 5), base_failed, kept and content_share of texts."""
+    found = [measure(t.as_py()) for t in texts]
+    base = np.array([f[0] for f in found], np.int64).reshape(-1, 5)
+    lengths = np.array([len(f[1]) for f in found], np.int64)
+    labels = viterbi(np.concatenate([f[1] for f in found]) @ emit.T, lengths, step)
+    content = np.bincount(np.repeat(np.arange(len(found)), lengths), np.concatenate([f[2] for f in found]) * (labels == 0), len(found))
+    failed = np.array([base_failed(a, b) for a, b in zip(base[:, 0].tolist(), base[:, 4].tolist())], bool)
+    shares = content / np.maximum(base[:, 0], 1)
+    return base, failed, ~failed & (shares >= share), shares
+
+
 def judge(docs: DataFrame, model: dict, share: float = CONTENT_SHARE) -> DataFrame:
     """A row of SCHEMA for each row of docs (doc_id, text).
 
@@ -210,17 +228,8 @@ def judge(docs: DataFrame, model: dict, share: float = CONTENT_SHARE) -> DataFra
         for whole in batches:
             for k in range(0, whole.num_rows, TOGETHER):
                 batch = whole.slice(k, TOGETHER)
-                found = [measure(t.as_py()) for t in batch.column(1)]
-                base = np.array([f[0] for f in found], np.int64)
-                lengths = np.array([len(f[1]) for f in found], np.int64)
-                words = np.concatenate([f[2] for f in found])
-                labels = viterbi(np.concatenate([f[1] for f in found]) @ emit.T, lengths, step)
-                doc = np.repeat(np.arange(len(found)), lengths)
-                content = np.bincount(doc, words * (labels == 0), len(found))
-                n = base[:, 0]
-                failed = np.array([base_failed(a, b) for a, b in zip(n.tolist(), base[:, 4].tolist())], bool)
-                shares = content / np.maximum(n, 1)
-                cols = [batch.column(0), *(pa.array(base[:, c]) for c in range(5)), pa.array(failed), pa.array(~failed & (shares >= share)), pa.array(shares, mask=n == 0), batch.column(2)]
+                base, failed, kept, shares = _decided(batch.column(1), emit, step, share)
+                cols = [batch.column(0), *(pa.array(base[:, c]) for c in range(5)), pa.array(failed), pa.array(kept), pa.array(shares, mask=base[:, 0] == 0), batch.column(2)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", "text_hash"])
 
     text = F.col("text").cast("string")
@@ -228,12 +237,13 @@ def judge(docs: DataFrame, model: dict, share: float = CONTENT_SHARE) -> DataFra
 
 
 def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge on all documents; nulls, empty texts, repeated rows and an empty table as there."""
     docs = read(spark, sf_dir, "documents")
     return judge(docs, train(docs, read(spark, sf_dir, "labels"))).drop("text_hash")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents that op1 doesn't keep go. Decisions are taken row by row where the text is; nothing is shuffled."""
+    """Stage: documents that op1 doesn't keep go, as judge decides. Rows are decided where the text is; nothing is shuffled."""
     model = train(docs, read(spark, sf_dir, "labels"))
     emit, step = np.array(model["emit"]), np.array(model["step"])
     at = docs.columns.index("text")
@@ -242,12 +252,6 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         for whole in batches:
             for k in range(0, whole.num_rows, TOGETHER):
                 batch = whole.slice(k, TOGETHER)
-                found = [measure(t.as_py()) for t in batch.column(at)]
-                lengths = np.array([len(f[1]) for f in found], np.int64)
-                labels = viterbi(np.concatenate([f[1] for f in found]) @ emit.T, lengths, step)
-                words = np.concatenate([f[2] for f in found])
-                content = np.bincount(np.repeat(np.arange(len(found)), lengths), words * (labels == 0), len(found))
-                keep = [not base_failed(f[0][0], f[0][4]) and c >= CONTENT_SHARE * f[0][0] for f, c in zip(found, content)]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                yield batch.filter(pa.array(_decided(batch.column(at), emit, step, CONTENT_SHARE)[2]))
 
     return docs.mapInArrow(rows, docs.schema)
