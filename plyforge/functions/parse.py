@@ -27,5 +27,5 @@ def bucket_plus(name: Column) -> Column:
 
 
 def bucket_of_path(path: Column, level: int) -> Column:
-    """The directory name of level 1 (outer) or 2 in .../outer/inner/data.parquet, from the raw path."""
-    return F.nullif(F.regexp_extract(path, r"([^/]+)/([^/]+)/data\.parquet$", level), F.lit(""))
+    """The directory name of level 1 (outer) or 2 in .../outer/inner/name.parquet, without a partition column's name=."""
+    return F.nullif(F.regexp_extract(path, r"(?:[^/=]*=)?([^/]+)/(?:[^/=]*=)?([^/]+)/[^/]*\.parquet$", level), F.lit(""))

@@ -14,19 +14,29 @@ MOVE_GROUP_PATTERN = r"O-O-O|O-O|[RNBQK]|[a-h][0-9]|[a-h]|[RNBQKa-h]|[x=+#]|\s"
 NOOP = 103
 
 
-def vocabulary() -> dict[str, int]:
-    """Move tokens and their ids, built by rule: castling, pieces, files, digits, signs, squares by rank, the space."""
+#: Header and outcome tokens in the order of their ids, from NOOP on.
+SPECIAL = [
+    "<|NOOP|>", "<|WHITEWINS|>", "<|BLACKWINS|>", "<|DRAW|>",
+    "<|ELO1000|>", "<|ELO1200|>", "<|ELO1400|>", "<|ELO1600|>", "<|ELO1800|>", "<|ELO2000|>", "<|ELO2200|>", "<|ELO2400|>", "<|ELO2600|>", "<|ELO2800|>", "<|ELO3000|>",
+    "<|ELOMAX|>", "<|ELOUNKNOWN|>",
+    "<|3HOURS|>", "<|1HOUR|>", "<|30MINUTES|>", "<|15MINUTES|>", "<|10MINUTES|>", "<|5MINUTES|>", "<|3MINUTES|>", "<|1MINUTE|>",
+    "<|0SECONDS|>", "<|1SECOND|>", "<|5SECONDS|>", "<|10SECONDS|>", "<|15SECONDS|>", "<|30SECONDS|>", "<|MAXSECONDS|>",
+]
+
+
+def vocabulary(max_id: int | None = None) -> dict[str, int]:
+    """Move tokens and their ids, built by rule: castling, pieces, files, digits, signs, squares by rank, the space.
+
+    max_id: only ids up to it.
+    """
     names = ["O-O-O", "O-O", *"RNBQK", *"abcdefgh", *"0123456789", *"x=#+"]
     names += [f + r for r in "12345678" for f in "abcdefgh"] + [" "]
-    return {t: i for i, t in enumerate(names)}
+    return {t: i for i, t in enumerate(names) if max_id is None or i <= max_id}
 
 
 def special_tokens() -> dict[str, int]:
     """Header and outcome tokens, numbered from NOOP on."""
-    names = ["NOOP", "WHITEWINS", "BLACKWINS", "DRAW", *(f"ELO{e}" for e in RATING_EDGES), "ELOMAX", "ELOUNKNOWN"]
-    names += ["3HOURS", *(n for _, n in reversed(TIME_EDGES))]
-    names += ["0SECONDS", "1SECOND", *(n for _, n in INCREMENT_EDGES), "30SECONDS", "MAXSECONDS"]
-    return {f"<|{n}|>": NOOP + i for i, n in enumerate(names)}
+    return {name: NOOP + i for i, name in enumerate(SPECIAL)}
 
 
 def _upto(value: Column, edges: list[tuple[int, str]], rest: Column) -> Column:

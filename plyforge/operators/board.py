@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plyforge.operators import sequences
+
 SAN = re.compile(r"(?:([RNBQK])?([a-h])?([1-8])?x?([a-h])([1-8])(?:=?([RNBQ]))?|(O-O-O|O-O|0-0-0|0-0))[+#]?[!?]*$")
 STRAIGHT = [(0, 1), (0, -1), (1, 0), (-1, 0)]
 SLANTED = [(1, 1), (1, -1), (-1, 1), (-1, -1)]
@@ -197,7 +199,9 @@ def novel_plies(games: DataFrame, train: DataFrame, test: DataFrame, game: str =
 
     after: the positions that legal moves lead to, so that a game's last one counts; else those that moves start from.
     """
-    p = replayed(games, game, after=after).where("fen is not null")
-    known = p.join(train, game, "left_semi").select("fen").distinct()
-    new = p.join(test, game, "left_semi").join(known, "fen", "left_anti")
+    sides = train.select(game).unionAll(test.select(game))
+    p = replayed(games.join(sides, game, "left_semi"), game, after=after).where("fen is not null")
+    if p.sparkSession.sparkContext.getCheckpointDir():
+        p = p.checkpoint()  # both sides read it: games are replayed once
+    new = sequences.novel(p.join(test, game, "left_semi"), "fen", p.join(train, game, "left_semi"))
     return new.groupBy(game).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("ply")).alias("plies"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 CELL_DIGITS = 3
 #: Ranges of the order column that ranks are taken in.
 RANGES = 64
+#: Values that the quantiles of a column without arithmetic are taken from.
+SAMPLE = 4096
 
 
 def random_key(seed: int, *columns: str) -> Column:
@@ -33,17 +35,21 @@ def global_rank(df: DataFrame, key: str, alias: str = "rank", digits: int = CELL
 def ranked_within(df: DataFrame, partition: list[str], order: list[str], alias: str, ranges: int = RANGES) -> DataFrame:
     """df with alias: each row's place (from 0) in its partition, by order.
 
-    Where the first order column is a number or a time, partitions are cut into ranges at its quantiles, so that a
-    partition that holds much of the table is ranked by several tasks; the quantiles only decide who does the work.
+    Partitions are cut into ranges of the first order column at its quantiles, so that a partition that holds much of
+    the table is ranked by several tasks; the quantiles only decide who does the work. Those of numbers and times are
+    approximate ones of all rows, those of other types come from the SAMPLE values of the least hashes.
     """
     first = df.schema[order[0]].dataType.typeName()
-    if first not in ("byte", "short", "integer", "long", "float", "double", "timestamp", "date"):
-        w = (Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))).orderBy(*order)
-        return df.withColumn(alias, (F.row_number().over(w) - 1).cast("long"))
-    number = (F.col(order[0]).cast("timestamp") if first == "date" else F.col(order[0])).cast("double")
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = df.agg(F.percentile_approx(number, shares, 1000)).first()[0] or []  # ranges - 1 numbers
-    marks = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
+    if first in ("byte", "short", "integer", "long", "float", "double", "timestamp", "date"):
+        number = (F.col(order[0]).cast("timestamp") if first == "date" else F.col(order[0])).cast("double")
+        shares = [i / ranges for i in range(1, ranges)]
+        bounds = df.agg(F.percentile_approx(number, shares, 1000)).first()[0] or []  # ranges - 1 numbers
+        marks = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
+    else:
+        number = F.col(order[0])
+        some = df.where(number.isNotNull()).select(number.alias("v")).distinct().orderBy(F.xxhash64("v")).limit(SAMPLE)
+        row = some.agg(F.array_sort(F.collect_list("v"))).first()[0] or []  # SAMPLE values at most
+        marks = F.array(*(F.lit(row[len(row) * i // ranges]) for i in range(1, ranges))) if row else F.array().cast(f"array<{df.schema[order[0]].dataType.simpleString()}>")
     celled = df.withColumn("__cell", F.coalesce(F.size(F.filter(marks, lambda b: b <= number)), F.lit(0)))
     counts = celled.groupBy(*partition, "__cell").agg(F.count("*").alias("__n"))
     whole = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
@@ -60,10 +66,21 @@ def oversampled(df: DataFrame, quotas: DataFrame, bucket: str, order: list[str])
     quotas (bucket, n, quota). turn is the copy's place in its bucket's cyclic sequence; ordering by (turn, bucket)
     gives the round robin over buckets. Rows of buckets without a quota are dropped.
     """
-    ranked = ranked_within(df, [bucket], order, "i")
-    told = ranked.join(F.broadcast(quotas), bucket).where("i < quota")
-    copies = told.withColumn("copy", F.explode(F.expr("sequence(0L, (quota - 1 - i) div n)")))
-    return copies.withColumn("turn", F.col("copy") * F.col("n") + F.col("i")).drop("n", "quota", "i")
+    quotas = quotas.select(F.col(bucket).alias("__bucket"), F.col("n").alias("__n"), F.col("quota").alias("__quota"))
+    ranked = ranked_within(df, [bucket], order, "__i")
+    told = ranked.join(F.broadcast(quotas), F.col(bucket) == F.col("__bucket")).where("__i < __quota")  # a row a bucket
+    copies = told.withColumn("copy", F.explode(F.expr("sequence(0L, (__quota - 1 - __i) div __n)")))
+    return copies.withColumn("turn", F.col("copy") * F.col("__n") + F.col("__i")).drop("__bucket", "__n", "__quota", "__i")
+
+
+def resumed(copies: DataFrame, bucket: str, turn: int, after: str) -> DataFrame:
+    """What a reader of oversampled's round robin, in the order of (turn, bucket), has yet to read after the given place."""
+    return copies.where((F.col("turn") > turn) | ((F.col("turn") == turn) & (F.col(bucket) > after)))
+
+
+def capped(df: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first most rows of df by order."""
+    return df.orderBy(*order).limit(most)
 
 
 def quota_split(df: DataFrame, key: list[str], seed: int = 42, valid: int = 5, test: int = 5) -> DataFrame:
@@ -111,15 +128,17 @@ def padded(df: DataFrame, ids: str, order: list[str], batch: int, group: list[st
 def skewed_prefix(df: DataFrame, group: str, order: list[str], most: int, seed: int, skew: int = 4) -> DataFrame:
     """For each group up to most rows from a random place on; later places are likelier, and a group may give none.
 
+    Adds k, the row's place in the sample, and i, its place in the group, where df has no i of its own; both from 0.
+
     Of a group of n rows, row i has weight 1/(skew(n+1)) + 2i/n (1/(n+1) - 1/(skew(n+1))); one draw, the hash of seed
     and group, and the first row at which the summed weights pass it starts the sample.
     """
     w = Window.partitionBy(group).orderBy(*order)
     n = F.count("*").over(Window.partitionBy(group))
-    ranked = df.withColumn("i", (F.row_number().over(w) - 1).cast("long")).withColumn("__n", n)
+    ranked = df.withColumn("__i", (F.row_number().over(w) - 1).cast("long")).withColumn("__n", n)
     least = 1.0 / (skew * (F.col("__n") + 1))
     rise = (1.0 / (F.col("__n") + 1) - least) * (2.0 / F.col("__n"))
-    mass = (F.col("i") + 1) * least + rise * (F.col("i") * (F.col("i") + 1) / 2.0)
+    mass = (F.col("__i") + 1) * least + rise * (F.col("__i") * (F.col("__i") + 1) / 2.0)
     draw = F.conv(F.substring(random_key(seed, group), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    fired = ranked.where(draw < mass)
-    return fired.withColumn("k", (F.row_number().over(w) - 1).cast("long")).where(F.col("k") < most).drop("__n")
+    fired = ranked.where(draw < mass).withColumn("k", (F.row_number().over(w) - 1).cast("long")).where(F.col("k") < most)
+    return (fired if "i" in df.columns else fired.withColumn("i", F.col("__i"))).drop("__n", "__i")

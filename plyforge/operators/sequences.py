@@ -72,3 +72,17 @@ def running_metrics(df: DataFrame, group: str, order: list[str], value: str) ->
 def first_k(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
     """The first k rows of each group, with ply."""
     return plies(df, group, order).where(F.col("ply") < k)
+
+
+def looked_up(index: DataFrame, at: str, table: DataFrame, key: str) -> DataFrame:
+    """index with the columns of the table's row that its column at names by key; without such a row: dropped."""
+    return index.join(table, index[at] == table[key])
+
+
+def novel(places: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """The rows of places whose key is not among those of known."""
+    return places.join(known.select(key).distinct(), key, "left_anti")
+
+
+def distinct_count(places: DataFrame, key: str) -> DataFrame:
+    return places.agg(F.count_distinct(key).alias("n"))

@@ -9,6 +9,7 @@ from plyforge.functions import tokens
 from plyforge.operators import board, buckets, sampling, sequences
 from plyforge.sources import games as sources
 
+#: The columns of a game in a built dataset.
 COLUMNS = ["moves", "clk", "result", "welo", "belo", "timeCtl", "increment"]
 
 
@@ -36,9 +37,23 @@ def merge_tree(spark: SparkSession, root: str, out: str, threshold: int, dry_run
 
 
 def split_files(spark: SparkSession, root: str, out: str, valid: float, test: float, seed: int = 42) -> None:
-    """Whole chunks of every file below root to one split each; a file's rows keep their order within a split."""
+    """Whole chunks of every file below root to one split each; a file's rows keep their order within a split.
+
+    The rows of a file are in the folder out/split=<split>/<the file's path below root>. They are written beside out
+    first; then the folders take their names by a rename each, on the driver, after what was in out is deleted.
+    """
     rows = sources.read_recursive(spark, root).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    sampling.chunk_split(rows, "__file", ["__row"], seed, valid, test).drop("chunk", "__file", "__row").write.mode("overwrite").partitionBy("split").parquet(out)
+    parts = sampling.chunk_split(rows, "__file", ["__row"], seed, valid, test).drop("chunk")
+    parts = parts.withColumn("__below", sources.path_below(spark, F.col("__file"), root)).repartition("split", "__below").sortWithinPartitions("split", "__below", "__row")
+    fresh = f"{out.rstrip('/')}.new"
+    parts.drop("__row", "__file").write.mode("overwrite").partitionBy("split", "__below").parquet(fresh)
+    sources.unfold(spark, fresh, out, "__below")
+
+
+def concat(spark: SparkSession, root: str, out: str) -> DataFrame:
+    """Writes the rows of all readable files below root to out and returns (file, bytes) of those that gave none."""
+    sources.read_recursive(spark, root, skip_unreadable=True).write.mode("overwrite").parquet(out)
+    return sources.unreadable(spark, root)
 
 
 def sequences_of(games: DataFrame, max_group: int = 2600, max_length: int = 768) -> DataFrame:
@@ -73,6 +88,18 @@ def mined(plies: DataFrame, game: str, threshold: float = 200, share: float = 0.
     return found.groupBy(game).agg(F.sort_array(F.collect_list(F.struct("ply", "best", "gain", "cp_loss"))).alias("misses"))
 
 
+def write_mined(spark: SparkSession, plies: DataFrame, game: str, out: str, threshold: float = 200, share: float = 0.5, **more) -> None:
+    """mined as Parquet in out/misses, and the parameters that gave it, with more, as JSON in out/parameters.json."""
+    mined(plies, game, threshold, share).write.mode("overwrite").parquet(f"{out}/misses")
+    sources.update_metadata(spark, f"{out}/parameters.json", threshold=threshold, share=share, **more)
+
+
+def sampled_positions(games: DataFrame, game: str, most: int = 10, seed: int = 42, skew: int = 4) -> DataFrame:
+    """(game, ply, fen, k): up to most positions of each replayed game from a random place on, later places being likelier."""
+    plies = board.replayed(games, game, "moves").where("legal").select(game, "ply", "fen")
+    return sampling.skewed_prefix(plies, game, ["ply"], most, seed, skew)
+
+
 def positions(games: DataFrame, game: str, per_game: int = 20) -> DataFrame:
     """(game, ply, fen) of the first per_game positions of each game."""
     return board.replayed(games, game, "moves", per_game).select(game, "ply", "fen")

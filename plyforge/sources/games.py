@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -79,11 +80,13 @@ def write_buckets(games: DataFrame, path: str, edges: list[int] = BUCKETS, mode:
 
 
 def read_bucket_tree(spark: SparkSession, root: str, max_group: int | None = None) -> DataFrame:
-    """A tree <white>/<black>/data.parquet with w_bucket and b_bucket; buckets above max_group are left out.
+    """All Parquet files below root in two levels of bucket directories, with w_bucket and b_bucket; buckets above max_group are left out.
 
-    Directories that aren't named like buckets are skipped. Raises where there is no such file.
+    Reads <white>/<black>/*.parquet as well as what write_buckets, ingest and merge write
+    (w_bucket=<white>/b_bucket=<black>/..., below batch=<n> or not). Directories that aren't named like buckets are
+    skipped. Raises where there is no such folder, or no file in it.
     """
-    files = spark.read.parquet(f"{root}/*/*/data.parquet")
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root)
     w, b = bucket_of_path(F.col("_metadata.file_path"), 1), bucket_of_path(F.col("_metadata.file_path"), 2)
     out = files.select("*", w.alias("w_bucket"), b.alias("b_bucket"))
     out = out.where(bucket_value(F.col("w_bucket")).isNotNull() & bucket_value(F.col("b_bucket")).isNotNull())
@@ -98,9 +101,23 @@ def bucket_catalog(tree: DataFrame) -> DataFrame:
     return counts.orderBy(*(x for c in ("w_bucket", "b_bucket") for x in (bucket_value(F.col(c)), bucket_plus(F.col(c)))))
 
 
-def read_recursive(spark: SparkSession, root: str) -> DataFrame:
-    """All Parquet files below root."""
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root)
+def read_recursive(spark: SparkSession, root: str, skip_unreadable: bool = False) -> DataFrame:
+    """All Parquet files below root; skip_unreadable: without those that can't be read, see unreadable."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    return reader.option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(root)
+
+
+def unreadable(spark: SparkSession, root: str) -> DataFrame:
+    """(file, bytes) of the Parquet files below root of which read_recursive has no row: broken or empty ones."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    path = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    read = read_recursive(spark, root, True).select(path(F.col("_metadata.file_path")).alias("__read")).distinct()
+    return there.join(read, path(F.col("file")) == F.col("__read"), "left_anti")
+
+
+def row_count(spark: SparkSession, root: str) -> int:
+    """The rows of all Parquet files below root, from their footers: no column is read."""
+    return read_recursive(spark, root).count()
 
 
 def write_splits(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
@@ -113,34 +130,98 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).write.mode("overwrite").text(path)
 
 
-def update_metadata(spark: SparkSession, path: str, **values) -> dict:
-    """Adds values to the one-line JSON document at path and returns it; the new one is written beside and then swapped in."""
+def _path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    file, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    store = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = jvm.org.apache.hadoop.fs.Path(path)
+    return out, out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def move(spark: SparkSession, old: str, new: str, overwrite: bool = False) -> None:
+    """Renames a file or folder, making the folders above new; overwrite replaces a file in one step."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    (source, _), (target, store) = _path(spark, old), _path(spark, new)
+    store.mkdirs(target.getParent())
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE if overwrite else option.NONE
+    where = target.makeQualified(store.getUri(), store.getWorkingDirectory())
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(source, where, options)
+
+
+def path_below(spark: SparkSession, file: Column, root: str) -> Column:
+    """The part of a file's path (as _metadata.file_path gives it) below the folder root."""
+    where, store = _path(spark, root)
+    whole = re.sub("^file:/+", "file:/", where.makeQualified(store.getUri(), store.getWorkingDirectory()).toString().rstrip("/")) + "/"
+    plain = F.regexp_replace(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    return F.when(F.startswith(plain, F.lit(whole)), F.substring(plain, len(whole) + 1, 1 << 30)).otherwise(F.regexp_extract(plain, "([^/]*)$", 1))
+
+
+def unfold(spark: SparkSession, fresh: str, out: str, column: str) -> None:
+    """Moves the folders fresh/<split>/<column>=<path> to out/<split>/<path>, in place of what was in out."""
+    unescape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    (source, store), (target, _) = _path(spark, fresh), _path(spark, out)
+    store.delete(target, True)
+    for split in store.listStatus(source):
+        if split.isDirectory():
+            for folder in store.listStatus(split.getPath()):
+                below = unescape(folder.getPath().getName().removeprefix(f"{column}="))
+                move(spark, folder.getPath().toString(), f"{out.rstrip('/')}/{split.getPath().getName()}/{below}")
+    store.delete(source, True)
+
+
+def update_metadata(spark: SparkSession, path: str, **values) -> dict:
+    """Adds values to the one-line JSON document at path and returns it.
+
+    The new one is written beside and then takes the old one's place in one rename, so that a crash leaves either.
+    """
+    file, store = _path(spark, path)
     known = json.loads(spark.read.text(path, wholetext=True).first()[0]) if store.exists(file) else {}
     known |= values
+    fresh, _ = _path(spark, f"{path}.new")
     out = store.create(fresh, True)
     out.write(bytearray(json.dumps(known).encode()))
     out.close()
-    store.delete(file, False)
-    store.rename(fresh, file)
+    move(spark, f"{path}.new", path, overwrite=True)
     return known
 
 
-def read_blocks(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """(blk, pos, value) of the flat arrays root/block-*/name.npy (one-dimensional int16 or int64)."""
-    import io
+#: Values of an array that a task holds at a time.
+BLOCK_VALUES = 1 << 20
+
+
+def read_blocks(spark: SparkSession, root: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """(blk, pos, value) of the flat integer arrays root/block-*/name.npy; of two-dimensional ones (blk, pos, *columns).
 
+    pos counts values, or rows, from 0; columns can't be named blk or pos. Files are listed, and cut into ranges that tasks read by themselves through the
+    file system of their URI, so that their size is not bounded.
+    """
     import numpy as np
 
+    width = len(columns) if columns else 1
+    listed = spark.read.format("binaryFile").load(f"{root}/block-*/{name}.npy").select("path", "length")
+    ranges = listed.select("path", F.explode(F.expr(f"sequence(0L, length div {BLOCK_VALUES // width}L)")).alias("part")).repartition("path", "part")
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for blk, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = np.load(io.BytesIO(content.as_buffer()))
-                for at in range(0, len(values), 1 << 20):
-                    part = values[at : at + (1 << 20)].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([blk] * len(part), pa.string()), pa.array(np.arange(at, at + len(part))), pa.array(part)], ["blk", "pos", "value"])
-
-    files = spark.read.format("binaryFile").load(f"{root}/block-*/{name}.npy")
-    return files.select(F.regexp_extract("path", r"(block-[^/]*)/", 1).alias("blk"), "content").mapInArrow(rows, "blk string, pos long, value long")
+            for path, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, where = fs.FileSystem.from_uri(path)
+                with store.open_input_file(where) as f:
+                    version = np.lib.format.read_magic(f)
+                    header = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+                    shape, fortran, kind = header(f)
+                    if fortran or kind.kind not in "iu" or (shape[1:] or (1,)) != (width,):
+                        raise ValueError(f"{path}: {kind} array of shape {shape}, not {width} integers a row")
+                    each = BLOCK_VALUES // width
+                    count = max(0, min(each, shape[0] - part * each))
+                    if not count:
+                        continue
+                    f.seek(f.tell() + part * each * width * kind.itemsize)
+                    values = np.frombuffer(f.read(count * width * kind.itemsize), kind).reshape(count, width).astype(np.int64)
+                blk = re.search(r"(block-[^/]*)/[^/]*$", path)[1]
+                at = part * each
+                cols = [pa.array([blk] * count, pa.string()), pa.array(np.arange(at, at + count)), *(pa.array(values[:, k].copy()) for k in range(width))]
+                yield pa.RecordBatch.from_arrays(cols, ["blk", "pos", *(columns or ["value"])])
+
+    return ranges.mapInArrow(rows, ", ".join(["blk string", "pos long", *(f"{c} long" for c in columns or ["value"])]))

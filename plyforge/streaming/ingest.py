@@ -9,14 +9,20 @@ from pyspark.sql.streaming.query import StreamingQuery
 from plyforge.sources.games import RECORD, accepted, parsed, write_buckets
 
 
-def ingest(spark: SparkSession, landing: str, out: str, ledger: str, checkpoint: str, files_per_batch: int = 2, poll: str | None = None, min_seconds: int = 60) -> StreamingQuery:
+def ingest(spark: SparkSession, landing: str, out: str, ledger: str, checkpoint: str, files_per_batch: int = 2, poll: str | None = None, min_seconds: int = 60, archive: str | None = None) -> StreamingQuery:
     """Parses dumps that land in a folder into bucketed games, each file once.
 
     The checkpoint remembers the files, files_per_batch bounds what is read ahead, poll (as "60 seconds") keeps the query
     running and None ends it when nothing is left. A batch overwrites its own directories only, so that a batch that is
-    run again after a failure leaves no duplicates. The ledger has (batch, file, ngames).
+    run again after a failure leaves no duplicates. The ledger has (batch, file, ngames). archive: a folder outside
+    landing that files which an earlier batch took are moved to; "delete" deletes them; None leaves them.
     """
-    stream = spark.readStream.format("text").option("lineSep", RECORD).option("maxFilesPerTrigger", files_per_batch).load(landing)
+    stream = spark.readStream.format("text").option("lineSep", RECORD).option("maxFilesPerTrigger", files_per_batch)
+    if archive == "delete":
+        stream = stream.option("cleanSource", "delete")
+    elif archive:
+        stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    stream = stream.load(landing)
 
     def load(batch: DataFrame, number: int) -> None:
         games = accepted(parsed(batch.select("value", F.col("_metadata.file_name").alias("file")).select("value")), min_seconds)
@@ -38,6 +44,21 @@ def landed(work: DataFrame, on_disk: DataFrame, downloaded: DataFrame) -> DataFr
     return work.join(on_disk.select("file"), "file", "left_semi").join(downloaded.select("file"), "file", "left_semi")
 
 
+def totals(ledger: DataFrame, work: DataFrame) -> DataFrame:
+    """(files, games, share): the ledger's different files, its games, and the files' share of the work list."""
+    per = ledger.groupBy("file").agg(F.sum("ngames").alias("ngames")).agg(F.count("*").alias("files"), F.sum("ngames").alias("games"))
+    return per.select("files", "games", (F.col("files") / F.lit(work.count())).alias("share"))
+
+
+def run_until(spark: SparkSession, query: StreamingQuery, marker: str, seconds: int = 1) -> None:
+    """Waits for the query's end, and stops it once there is a file marker. A batch that is stopped is run again by the next start."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(marker)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while not query.awaitTermination(seconds):
+        if store.exists(path):
+            query.stop()
+
+
 def progress(query: StreamingQuery) -> dict:
     """Rows and rows a second of the last batch; empty before the first."""
     last = query.lastProgress

@@ -79,3 +79,71 @@ def test_command_line(capsys, tree, spark, tmp_path):
     assert (tmp_path / "fmd.json").exists()
     cli.main(["fens", tree, f"{tmp_path}/fens", "--per-game", "2"])
     assert spark.read.text(f"{tmp_path}/fens").count() == 730
+
+
+def test_chain_of_written_trees(spark, tmp_path):
+    """ingest, merge, merge again, build and split: each reads what the one before wrote."""
+    from plyforge.streaming import ingest
+    from tests.test_sources import dump
+
+    (tmp_path / "land").mkdir()
+    games = [(f"p{i}", ("1-0", "0-1", "1/2-1/2")[i % 3], 1450 if i < 30 else 2450, "300+2") for i in range(40)]
+    for k in range(2):
+        (tmp_path / "land" / f"{k}.pgn").write_text(dump(*games[k::2]))
+    ingest.ingest(spark, *(f"{tmp_path}/{x}" for x in ("land", "tree", "ledger", "check")), files_per_batch=1).awaitTermination()
+    tree = sources.read_bucket_tree(spark, f"{tmp_path}/tree")
+    assert {(r.w_bucket, r.b_bucket, r.n) for r in sources.bucket_catalog(tree).collect()} == {("1500", "1600", 30), ("2500", "1600", 10)}
+    assert sources.row_count(spark, f"{tmp_path}/tree") == 40
+    cli.main(["merge", f"{tmp_path}/tree", f"{tmp_path}/m", "2000"])
+    cli.main(["merge", f"{tmp_path}/m", f"{tmp_path}/m2", "2000"])
+    told = [{(r.w_bucket, r.b_bucket): r.n for r in sources.bucket_catalog(sources.read_bucket_tree(spark, f"{tmp_path}/{x}")).collect()} for x in ("m", "m2")]
+    assert told[0] == told[1] and sum(told[0].values()) == 40
+    cli.main(["build", f"{tmp_path}/m", f"{tmp_path}/built", "--min-timectl", "300", "--max-repeats", "2"])
+    built = spark.read.parquet(f"{tmp_path}/built")
+    assert built.count() == sum(min(2 * n, max(told[0].values())) if n < max(told[0].values()) else n for n in told[0].values())
+    cli.main(["split", f"{tmp_path}/m", f"{tmp_path}/s", "--valid", "0.3", "--test", "0.2"])
+    below = {p.relative_to(tmp_path / "m").as_posix() for p in (tmp_path / "m").rglob("*.parquet")}
+    split = {p.parent.relative_to(tmp_path / "s").as_posix().split("/", 1)[1] for p in (tmp_path / "s").rglob("*.parquet") if p.is_file()}
+    assert split == below and spark.read.parquet(f"{tmp_path}/s").count() == 40
+    assert {p.name for p in (tmp_path / "s").iterdir()} <= {"split=train", "split=val", "split=test"}
+
+
+def test_files_that_cannot_be_read_are_told(spark, tmp_path, capsys):
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/in/a b+c")
+    (tmp_path / "in/broken.parquet").write_bytes(b"PAR1 not a table PAR1")
+    cli.main(["concat", f"{tmp_path}/in", f"{tmp_path}/out"])
+    said = capsys.readouterr().out
+    assert "broken.parquet (21 bytes)" in said and said.count("no rows read") == 1
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+
+
+def test_copies_of_tables_with_clashing_names(spark):
+    df = spark.createDataFrame([("a", i, 7, 8, 9, 10) for i in range(3)], "bucket string, at long, n int, i int, quota int, k int")
+    quotas = spark.createDataFrame([("a", 3, 7)], "bucket string, n long, quota long")
+    rows = sampling.oversampled(df, quotas, "bucket", ["at"])
+    assert rows.columns == [*df.columns, "copy", "turn"]
+    got = rows.collect()
+    assert sorted((r.turn, r.at) for r in got) == [(t, t % 3) for t in range(7)] and {(r.n, r.i, r.quota) for r in got} == {(7, 8, 9)}
+    assert sorted(r.turn for r in sampling.resumed(rows, "bucket", 4, "a").collect()) == [5, 6]
+    assert [r.at for r in sampling.capped(df, ["at"], 2).collect()] == [0, 1]
+    assert "i" in sampling.skewed_prefix(df.drop("k"), "bucket", ["at"], 2, 1).columns
+
+
+def test_string_ranks_have_many_tasks(spark):
+    df = spark.range(3000).selectExpr("concat('k', lpad(id * 7 % 3001, 4, '0')) as s", "id % 2 as p")
+    ranked = sampling.ranked_within(df, [], ["s"], "at", 16)
+    got = ranked.collect()
+    assert [r.s for r in sorted(got, key=lambda r: r.at)] == sorted(r.s for r in got) and sorted(r.at for r in got) == list(range(3000))
+
+
+def test_mined_with_parameters(spark, tmp_path):
+    import json
+
+    plies = spark.createDataFrame([(1, i, float(x), f"m{i}") for i, x in enumerate((20, 300, 50))], "g int, ply long, score double, best string")
+    jobs.write_mined(spark, plies, "g", f"file://{tmp_path}/mined", 200, 0.5, engine="given scores")
+    assert json.loads((tmp_path / "mined/parameters.json").read_text()) == {"threshold": 200, "share": 0.5, "engine": "given scores"}
+    assert spark.read.parquet(f"{tmp_path}/mined/misses").count() == 1
+
+
+def test_vocabulary_up_to_an_id():
+    assert max(tokens.vocabulary(20).values()) == 20 and tokens.vocabulary(20).items() <= tokens.vocabulary().items()

@@ -103,3 +103,32 @@ def test_windows(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
     q.awaitTermination()
     assert sorted((r.n, r.total) for r in spark.table("w").collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_arrays_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(g, "BLOCK_VALUES", 100)
+    (tmp_path / "block-7").mkdir()
+    rows = np.arange(1230 * 4).reshape(-1, 4)
+    np.save(tmp_path / "block-7/train.npy", rows)
+    got = sorted(map(tuple, g.read_blocks(spark, f"{tmp_path}", "train", ["gidx", "gs", "nmoves", "block"]).collect()))
+    assert got == [("block-7", i, *r) for i, r in enumerate(rows.tolist())]
+    np.save(tmp_path / "block-7/flat.npy", np.arange(1001, dtype=np.int16))
+    assert sorted(map(tuple, g.read_blocks(spark, f"{tmp_path}", "flat").collect())) == [("block-7", i, i) for i in range(1001)]
+    np.save(tmp_path / "block-7/none.npy", np.zeros(0, np.int64))
+    assert g.read_blocks(spark, f"{tmp_path}", "none").count() == 0
+
+
+def test_stream_stops_at_a_marker_and_archives(spark, tmp_path):
+    (tmp_path / "land").mkdir()
+    (tmp_path / "land/a.pgn").write_text(dump(*GAMES))
+    paths = [str(tmp_path / x) for x in ("land", "out", "ledger", "check")]
+    q = s.ingest(spark, *paths, poll="1 second", archive=f"{tmp_path}/done")
+    (tmp_path / "stop").write_text("")
+    for _ in range(60):
+        if (tmp_path / "ledger").exists():
+            break
+        time.sleep(1)
+    s.run_until(spark, q, f"file://{tmp_path}/stop")
+    assert not q.isActive and spark.read.parquet(paths[2]).count() == 1
+    total = s.totals(spark.read.parquet(paths[2]), spark.createDataFrame([("a.pgn",), ("b.pgn",)], "file string")).first()
+    assert (total.files, total.games, total.share) == (1, 6, 0.5)
