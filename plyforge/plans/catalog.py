@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from plyforge.functions import parse, scores, tokens
 from plyforge.operators import board, buckets, evaluation, sampling, sequences
+from plyforge.plans import jobs
+from plyforge.sources import games as sources
+from plyforge.streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -253,7 +256,8 @@ def merge_dry_run(spark, d):
 def bucket_name_parse(spark, d):
     from pyspark.sql import Window
 
-    names = bucket_tree(spark, d).select(F.col("b").alias("name")).distinct()
+    tree = bucket_tree(spark, d).select(F.lit("0").alias("w_bucket"), F.col("b").alias("b_bucket"))
+    names = sources.bucket_catalog(tree).select(F.col("b_bucket").alias("name"))
     parsed = names.select("name", parse.bucket_value(F.col("name")).alias("value"), parse.bucket_plus(F.col("name")).alias("plus")).where("value is not null")
     # A row a bucket name: the catalogue is small whatever the data's size.
     return parsed.withColumn("place", (F.row_number().over(Window.orderBy("value", "plus", "name")) - 1).cast("long"))
@@ -306,13 +310,13 @@ def prefix_locate(spark, d):
 
 @query(
     """
-    with s as (select distinct conv_id, 1 as gs, 2 + conv_id % 2 as nmoves from conversations where conv_id % 3 = 0)
+    with s as (select distinct conv_id, 1 as gs, 2 + conv_id % 2 as nmoves from conversations)
     select conv_id, turn, role from conversations join s using (conv_id) where turn >= gs and turn < gs + nmoves
     """
 )
 def gather_slice(spark, d):
     values = table(spark, d, "conversations").select("conv_id", "turn", "role")
-    slices = values.where("conv_id % 3 = 0").select("conv_id", F.lit(1).alias("gs"), (2 + F.col("conv_id") % 2).alias("nmoves")).distinct()
+    slices = values.select("conv_id", F.lit(1).alias("gs"), (2 + F.col("conv_id") % 2).alias("nmoves")).distinct()
     return sequences.gathered(values, "conv_id", "turn", slices).select("conv_id", "turn", "role")
 
 
@@ -325,13 +329,15 @@ def gather_slice(spark, d):
 def index_gather(spark, d):
     idx = table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("gidx"), F.col("l_suppkey").alias("blk")).agg(F.count("*").alias("moves"))
     games, players = table(spark, d, "orders"), table(spark, d, "supplier")
-    return idx.join(games, idx.gidx == games.o_orderkey).join(players, idx.blk == players.s_suppkey).select("o_orderkey", "blk", "moves", "o_orderstatus", "s_acctbal")
+    found = sequences.looked_up(sequences.looked_up(idx, "gidx", games, "o_orderkey"), "blk", players, "s_suppkey")
+    return found.select("o_orderkey", "blk", "moves", "o_orderstatus", "s_acctbal")
 
 
 @query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 100000 and o_custkey is not null)")
 def anti_ledger(spark, d):
-    done = table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").select("c_custkey", "c_name").join(done, "c_custkey", "left_anti")
+    done = table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("file"))
+    work = table(spark, d, "customer").select(F.col("c_custkey").alias("file"), "c_name")
+    return ingest.remaining(work, done).select(F.col("file").alias("c_custkey"), "c_name")
 
 
 @query(
@@ -341,9 +347,11 @@ def anti_ledger(spark, d):
     """
 )
 def semi_ledger(spark, d):
-    landed = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("s_suppkey"))
+    on_disk = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("file"))
+    work = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), "s_name", "s_nationkey")
     listed = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
-    return table(spark, d, "supplier").join(landed, "s_suppkey", "left_semi").join(listed, "s_nationkey", "left_semi").select("s_suppkey", "s_name")
+    fetched = work.join(listed, "s_nationkey", "left_semi")
+    return ingest.landed(work, on_disk, fetched).select(F.col("file").alias("s_suppkey"), "s_name")
 
 
 POSITIONS = "(select conv_id, turn, md5(role || '|' || turn || '|' || length(text) // 40) as position from conversations)"
@@ -363,13 +371,13 @@ def positions(spark, d):
 )
 def novel_positions(spark, d):
     p = positions(spark, d)
-    novel = p.where("conv_id % 2 = 1").join(p.where("conv_id % 2 = 0").select("position").distinct(), "position", "left_anti")
+    novel = sequences.novel(p.where("conv_id % 2 = 1"), "position", p.where("conv_id % 2 = 0"))
     return novel.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("turn")), lambda t: t.cast("string")), ",").alias("plies"))
 
 
 @query(f"select count(distinct position) as n from {POSITIONS}")
 def distinct_positions(spark, d):
-    return positions(spark, d).agg(F.count_distinct("position").alias("n"))
+    return sequences.distinct_count(positions(spark, d), "position")
 
 
 @query(
@@ -409,8 +417,7 @@ def skew_sample(spark, d):
     """
 )
 def event_windows(spark, d):
-    w = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return w.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return ingest.windowed(table(spark, d, "events"), "ts", "1 hour", "10 minutes", "event_type").withColumn("total", F.round("total", 4))
 
 
 # ---------------------------------------------------------------- move texts
@@ -659,14 +666,13 @@ def mask_tokens(spark, d):
 
 @query(
     """
-    with b as (select user_id, avg(case when event_type = 'click' then value end) as a, avg(case when event_type = 'view' then value end) as b from events where event_id % 7 = 0 group by user_id)
+    with b as (select user_id, avg(case when event_type = 'click' and value > 60 then value end) as a, avg(case when event_type = 'view' and value > 60 then value end) as b from events group by user_id)
     select round(avg(coalesce(a, 0)), 6) as a, round(avg(coalesce(b, 0)), 6) as b from b
     """
 )
 def mean_with_default(spark, d):
-    per = table(spark, d, "events").where("event_id % 7 = 0").groupBy("user_id").agg(
-        F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("b")
-    )
+    of = lambda kind: F.avg(F.when((F.col("event_type") == kind) & (F.col("value") > 60), F.col("value")))
+    per = table(spark, d, "events").groupBy("user_id").agg(of("click").alias("a"), of("view").alias("b"))
     out = evaluation.mean_with_default(per, "a", "b")
     return out.select(F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
@@ -733,9 +739,9 @@ def compute_budget(spark, d):
     return spark.createDataFrame(rows, "missing string, value double").withColumn("value", F.round("value", 6))
 
 
-@query("select event_id, round(6.0::double * (event_id % 1000 + 1) * 8 * 764 / 1e12, 12) as teraflops from events where event_id % 10 = 0")
+@query("select event_id, round(6.0::double * (event_id % 1000 + 1) * 8 * 764 / 1e12, 12) as teraflops from events")
 def step_flops(spark, d):
-    return table(spark, d, "events").where("event_id % 10 = 0").select(
+    return table(spark, d, "events").select(
         "event_id", F.round(scores.step_teraflops(F.col("event_id") % 1000 + 1, F.lit(8), F.lit(764)), 12).alias("teraflops")
     )
 
@@ -790,29 +796,61 @@ NAMES = f"(select distinct regexp_extract(url, 'standard_rated_([0-9-]+)\\.pgn\\
 def newest_first_worklist(spark, d):
     from pyspark.sql import Window
 
-    names = dump_urls(spark, d).select(parse.dump_name(F.col("url")).alias("name")).where("name is not null").distinct()
-    done = names.where("name like '2018%'")
+    names = dump_urls(spark, d).select(parse.dump_name(F.col("url")).alias("file")).where("file is not null").distinct()
+    left = ingest.remaining(names, names.where("file like '2018%'")).withColumnRenamed("file", "name")
     # A row a monthly dump: the work list is small whatever the data's size.
-    return names.join(done, "name", "left_anti").withColumn("turn", (F.row_number().over(Window.orderBy(F.desc("name"))) - 1).cast("long"))
+    return left.withColumn("turn", (F.row_number().over(Window.orderBy(F.desc("name"))) - 1).cast("long"))
 
 
 @query("select count(distinct o_custkey) as files, count(*) as games, round(count(distinct o_custkey) / (select count(*) from customer), 9) as share from orders")
 def ledger_totals(spark, d):
-    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
-    per = orders.groupBy("o_custkey").agg(F.count("*").alias("games")).agg(F.count("*").alias("files"), F.sum("games").alias("games"))
-    return per.select("files", "games", F.round(F.col("files") / F.lit(customers.count()), 9).alias("share"))
+    ledger = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.lit(1).alias("ngames"))
+    return ingest.totals(ledger, table(spark, d, "customer")).withColumn("share", F.round("share", 9))
 
 
 # ---------------------------------------------------------------- replayed games (no SQL: moves are played on a board)
 
+#: Well-known openings, which games begin with.
+OPENINGS = [
+    "e4 e5 Nf3 Nc6 Bb5 a6 Ba4 Nf6 O-O Be7 Re1 b5 Bb3 d6 c3 O-O",
+    "e4 e5 Nf3 Nc6 Bc4 Bc5 c3 Nf6 d4 exd4 cxd4 Bb4+ Nc3 Nxe4",
+    "e4 c5 Nf3 d6 d4 cxd4 Nxd4 Nf6 Nc3 a6 Bg5 e6 f4 Be7 Qf3 Qc7 O-O-O",
+    "e4 e6 d4 d5 Nc3 Nf6 Bg5 Be7 e5 Nfd7 Bxe7 Qxe7 f4 O-O",
+    "e4 c6 d4 d5 exd5 cxd5 c4 Nf6 Nc3 e6 Nf3 Be7 cxd5 Nxd5",
+    "d4 d5 c4 e6 Nc3 Nf6 Bg5 Be7 e3 O-O Nf3 Nbd7 Rc1 c6",
+    "d4 Nf6 c4 g6 Nc3 Bg7 e4 d6 Nf3 O-O Be2 e5 O-O Nc6 d5 Ne7",
+    "d4 Nf6 c4 e6 Nc3 Bb4 e3 O-O Bd3 d5 Nf3 c5 O-O Nc6",
+    "c4 e5 Nc3 Nf6 Nf3 Nc6 g3 d5 cxd5 Nxd5 Bg2 Nb6 O-O Be7",
+    "e4 d5 exd5 Qxd5 Nc3 Qa5 d4 Nf6 Nf3 Bf5 Bc4 e6 Bd2 c6",
+    "e4 a6 e5 d5 exd6 cxd6 d4 Nf6 c4 g6",
+    "e4 d5 exd5 c6 dxc6 Nf6 cxb7 Nbd7 bxa8=Q Nb6 Qxa7 Bd7",
+]
+#: Moves that a game ends with; where the position has no such move, its replay ends there.
+LAST = ["h3 h6", "a3 a5", "Kh1 Kh8", "Nd5", "Qe2 Qe7", "b4", "O-O O-O", "Rb1 Rb8"]
+VERY_LAST = ["a4 h5", "g3 g6", "Ne5", "h4 a6", "Kf1 Kf8", "d5", "Ra2", "Bf4 Bf5", "Qc2 Qc7", "g4 g5", "Re1 Re8"]
+
+
+def openings(spark, d):
+    """(o_orderkey, moves): a game an order, from 4 plies of an opening to all of it, and last moves."""
+    key = F.col("o_orderkey")
+    at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    begun = F.slice(F.split(at(OPENINGS, key), " "), F.lit(1), (4 + F.floor(key / len(OPENINGS)) % 14).cast("int"))
+    moves = F.concat_ws(" ", begun, at(LAST, F.floor(key / 7)), at(VERY_LAST, key))
+    return table(spark, d, "orders").select("o_orderkey", moves.alias("moves"))
+
 
 @query()
 def replay_plies(spark, d):
-    return board.replayed(games(spark, d), "o_orderkey", "moves", 20)
+    return board.replayed(openings(spark, d), "o_orderkey", "moves", 20)
+
+
+@query()
+def skew_board_positions(spark, d):
+    return jobs.sampled_positions(openings(spark, d), "o_orderkey", 4, 7)
 
 
 @query()
 def novel_board_positions(spark, d):
-    g = games(spark, d).select("o_orderkey", "moves")
+    g = openings(spark, d)
     train, test = (g.where(f"o_orderkey % 10 {c}").select("o_orderkey") for c in ("<> 1", "= 1"))
     return board.novel_plies(g, train, test, "o_orderkey", after=True).select("o_orderkey", "n", joined(F.col("plies")).alias("plies"))

@@ -38,7 +38,44 @@ def test_positions_after_the_moves(spark):
 
 
 def test_query_equals_plain_sets(spark):
-    games = {r.o_orderkey: r.moves for r in catalog.games(spark, SF).collect()}
+    games = {r.o_orderkey: r.moves for r in catalog.openings(spark, SF).collect()}
     want = novel(games, [g for g in games if g % 10 != 1], [g for g in games if g % 10 == 1])
     got = {(r.o_orderkey, r.n, r.plies) for r in catalog.QUERIES["novel_board_positions"](spark, SF).collect()}
     assert got == {(g, n, ",".join(map(str, p))) for g, n, p in want}
+
+
+def test_games_are_long_and_legal_to_their_last_moves(spark):
+    for text in catalog.OPENINGS:
+        assert len(positions(text)) == len(text.split()) >= 10
+    rows = catalog.QUERIES["replay_plies"](spark, SF).collect()
+    games = {r.o_orderkey: r.moves.split() for r in catalog.openings(spark, SF).collect()}
+    assert sum(r.legal for r in rows) / len(games) > 8 and {r.san for r in rows} >= {"O-O", "O-O-O", "exd6", "bxa8=Q", "Bb4+"}
+    for r in rows:
+        board = Board()
+        assert all(board.push(m) for m in games[r.o_orderkey][: r.ply])
+        assert r.fen == " ".join(board.fen().split()[:-2]) and r.san == games[r.o_orderkey][r.ply] and r.legal == board.push(r.san)
+
+
+def test_sampled_positions_equal_a_plain_draw(spark):
+    """The query skew_board_positions: one draw a game, the first ply at which the summed weights pass it, four plies from there."""
+    import hashlib
+
+    want = set()
+    for r in catalog.openings(spark, SF).collect():
+        board, fens = Board(), []
+        for san in r.moves.split():
+            fen = " ".join(board.fen().split()[:-2])
+            if not board.push(san):
+                break
+            fens.append(fen)
+        n = len(fens)
+        draw = int(hashlib.md5(f"7|{r.o_orderkey}".encode()).hexdigest()[:8], 16) / 2**32
+        least, mass, first = 1 / (4 * (n + 1)), 0.0, None
+        for i in range(n):
+            mass += least + 2 * i / n * (1 / (n + 1) - least)
+            if first is None and draw < mass:
+                first = i
+        if first is not None:
+            want |= {(r.o_orderkey, i, fens[i], i - first) for i in range(first, min(n, first + 4))}
+    got = {(r.o_orderkey, r.ply, r.fen, r.k) for r in catalog.QUERIES["skew_board_positions"](spark, SF).collect()}
+    assert got == want and len({g for g, *_ in got}) > 50
