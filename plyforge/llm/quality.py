@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,16 +182,13 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> di
     if len(have) < 2:
         return DEFAULT
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
-    parts = []
-    for quality in (0, 1):
-        # Ids are chosen before texts are read; rows that repeat an id come with it, so those are bounded once more.
-        ids = least_hashes(judged.where(F.col("quality") == quality).select("doc_id", F.xxhash64(F.lit("sample"), "doc_id").alias("h")), sample)
-        if not len(ids):
-            return DEFAULT
-        chosen = docs.sparkSession.createDataFrame(ids[["doc_id"]])
-        rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.xxhash64(F.lit("sample"), "doc_id").alias("h"))
-        got = least_hashes(rows, 2 * sample).sort_values(["doc_id", "text"])  # bounded: see SAMPLE
-        parts += [(t, quality) for t in got.text]
+    # Ids are chosen before texts are read; rows that repeat an id come with it, so the rows are bounded once more.
+    ids = [least_hashes(judged.where(F.col("quality") == q).select("doc_id", "quality", F.xxhash64(F.lit("sample"), "doc_id").alias("h")), sample) for q in (0, 1)]
+    if not all(map(len, ids)):
+        return DEFAULT
+    chosen = docs.sparkSession.createDataFrame(pd.concat(ids))
+    got = texts.join(F.broadcast(chosen), "doc_id").orderBy("h").limit(4 * sample).toPandas().sort_values(["doc_id", "text"])  # bounded: see SAMPLE
+    parts = list(zip(got.text, got.quality, strict=True))
     parts = [(measure(t)[1][:SAMPLE_LINES], q) for t, q in parts]
     parts = [(x, q) for x, q in parts if len(x)]
     if len({q for _, q in parts}) < 2:
