@@ -7,16 +7,21 @@ from plyforge.llm import decontaminate
 from tests.conftest import SF
 
 
-def shingles(text):
-    w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
-    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+def words(text):
+    return [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+
+
+def shingles(w, k):
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
 def brute(docs, items):
+    """Items of fewer than five words are one shingle of all their words, found wherever these stand in a row."""
     out = set()
     for d, t in docs:
         for i, u in items:
-            a, b = shingles(t), shingles(u)
+            k = min(5, len(words(u)))
+            a, b = shingles(words(t), k), shingles(words(u), k) if k else set()
             if b and 5 * len(a & b) >= 4 * len(b):
                 out.add((d, i, len(b), len(a & b)))
     return out
@@ -55,6 +60,41 @@ def test_edges(spark):
     assert ours(spark, docs, []) == set() and ours(spark, [], items) == set()
 
 
+def test_short_items_in_long_documents(spark):
+    filler = " ".join(f"w{i % 97}x{i % 89}" for i in range(9000))  # over two chunks
+    items = [(1, "who wrote Hamlet"), (2, "zyx"), (3, "to be, or not"), (4, "one two three four five"), (5, "not there"), (6, "two words")]
+    docs = [(1, f"{filler} so Who wrote; hamlet? {filler}"), (2, f"zyx {filler}"), (3, f"{filler} to be or not"), (4, "who wrote"), (5, filler), (6, f"{filler} two\nWORDS one two three four five")]
+    want = brute(docs, items)
+    assert {(d, i) for d, i, *_ in want} == {(1, 1), (2, 2), (3, 3), (6, 4), (6, 6)}
+    assert ours(spark, docs, items) == want
+
+
+def test_items_at_the_seams_of_chunks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK", 7)
+    test_random_texts(spark)
+    test_short_items_in_long_documents(spark)
+
+
+def test_short_items_do_not_open_the_search_for_long_ones(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"v{rng.randrange(4000)}" for _ in range(n))
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    docs = frame([(d, text(3000)) for d in range(20)], "doc_id")
+    sketch = lambda items: decontaminate._sketches(decontaminate._rows(frame(items, "item_id"), "item_id", "item_id"), 0.8, 5)
+    long = [(i, text(200)) for i in range(5)]
+    short = [(100 + i, text(5)) for i in range(50)]
+    a, b = sketch(long), sketch([*long, *short])
+    bounds = decontaminate.class_bounds(b)
+    assert decontaminate.class_bounds(a)[5] == [x for x in bounds[5] if x[0] > 100]  # the long items' class is as it was
+    few, more = (decontaminate.probes_of(docs, s, 5).count() for s in (a, b))
+    assert few < 20 * 3000 / 40 and more < 20 * 3000 / 20
+
+
+def test_hashes_of_arrays_and_of_words_agree(spark):
+    row = spark.sql("select xxhash64(split('a bc é', ' ')) = xxhash64('a', 'bc', 'é') as same").first()
+    assert row.same
+
+
 def test_large_candidate_sets_are_joined_without_broadcast(spark, monkeypatch):
     from plyforge.llm import common
 
