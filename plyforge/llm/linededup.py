@@ -1,8 +1,10 @@
 """Line dedup: a segment-partition join of lines within an edit distance.
 
-A line of length l is cut into MAX_EDITS + 1 segments. Two lines within MAX_EDITS edits share a segment of the shorter
-one, at a place that the lengths and the edits left bound: a line files its own segments under keys of (length, segment
-number, hash) and probes, for its own length and each shorter one in reach, the few substrings that can match. Substring
+Lines are near if they are within one edit for each CHARS_PER_EDIT code points of the shorter one, MAX_EDITS at most; so
+lines of fewer code points are near only if equal. A line that may have t edits is cut into t + 1 segments. Two near lines
+share a segment of the shorter one, at a place that the lengths and the edits left bound: a line files its own segments
+under keys of (length, segment number, hash) and probes, for its own length and each shorter one in reach, the few
+substrings that can match. Substring
 hashes come from prefix sums of a polynomial, all lines of a batch at once. A first pass finds the keys in which two
 lines meet (counts that are combined before they are shuffled, so that a frequent segment costs no task of its own); a
 second one takes the rows of these keys. The lines of a key are compared in tasks: pairs are thinned by a signature (the
@@ -23,9 +25,8 @@ from pyspark.sql import functions as F
 
 from plyforge.llm.common import components, dealt, forest, materialize, pairs_in_blocks, read, sized, whole_blocks
 
-MAX_EDITS = 2
-#: Shorter lines (code points) are duplicates only if equal: within two edits, short lines are often unrelated.
-MIN_CHARS = 20
+#: Edits between near lines: one for each CHARS_PER_EDIT code points of the shorter line, MAX_EDITS at most.
+MAX_EDITS, CHARS_PER_EDIT = 2, 10
 #: Code points whose prefix sums are held together; a longer text is a group of its own.
 TOGETHER = 1_000_000
 #: Pairs that are verified before those that the links found connect are skipped.
@@ -58,6 +59,11 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def edits_of(length):
+    """The edits that a line of this length, or an array of lengths, may have."""
+    return np.minimum(MAX_EDITS, length // CHARS_PER_EDIT)
+
+
 def segments(length: np.ndarray, i: int, edits: int = MAX_EDITS) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of segment i (from 0) of lines: equal parts, the longer ones last."""
     short, longer = length // (edits + 1), length % (edits + 1)
@@ -100,33 +106,35 @@ class Prefixes:
 
 
 def keys_of(p: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line index, key, filed): every line of MIN_CHARS or more under its own segments, and where it probes.
+    """(line index, key, filed): every line that may have edits under its own segments, and where it probes.
 
-    It probes where a line of the same length or up to MAX_EDITS shorter can have left a segment whole. Segment i has i
-    segments before it and MAX_EDITS - i after: if it is the first match from the left, its shift is within i; if the
-    last from the right, it is within MAX_EDITS - i of the difference of the lengths. Filed rows are also probes of the
-    line's own length without a shift.
+    It probes where a line of the same length or shorter, within the edits that this one may have, can have left a
+    segment whole. Of t + 1 segments, segment i has i before it and t - i after: if it is the first match from the left,
+    its shift is within i; if the last from the right, it is within t - i of the difference of the lengths. Filed rows are
+    also probes of the line's own length without a shift.
     """
     every, index, keys, filed = np.arange(len(p.lengths)), [], [], []
-    for less in range(MAX_EDITS + 1):
-        target = p.lengths - less
-        for i in range(MAX_EDITS + 1):
-            at, size = segments(target, i)
-            for shift in range(max(-i, less - (MAX_EDITS - i)), min(i, less + (MAX_EDITS - i)) + 1):
-                ok = (at + shift >= 0) & (at + shift + size <= p.lengths) & (target >= MIN_CHARS)
-                index.append(every[ok])
-                keys.append(p.key((p.starts + at + shift)[ok], size[ok], target[ok], i))
-                filed.append(np.full(len(index[-1]), less == shift == 0))
+    for edits in range(1, MAX_EDITS + 1):
+        for less in range(edits + 1):
+            target = p.lengths - less
+            mine = edits_of(target) == edits
+            for i in range(edits + 1):
+                at, size = segments(target, i, edits)
+                for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                    ok = mine & (at + shift >= 0) & (at + shift + size <= p.lengths)
+                    index.append(every[ok])
+                    keys.append(p.key((p.starts + at + shift)[ok], size[ok], target[ok], i))
+                    filed.append(np.full(len(index[-1]), less == shift == 0))
     return np.concatenate(index), np.concatenate(keys), np.concatenate(filed)
 
 
 def _grouped(texts: Iterator[str | None]) -> Iterator[list[str]]:
-    """The different lines of MIN_CHARS or more with a word, of some TOGETHER code points of lines at a time."""
+    """The different lines with a word that may have edits, of some TOGETHER code points of lines at a time."""
     lines: dict[str, None] = {}
     size = 0
     for text in texts:
         for line in text.split("\n") if text else ():
-            if len(line) >= MIN_CHARS and line not in lines and line.strip(BLANK):
+            if len(line) >= CHARS_PER_EDIT and line not in lines and line.strip(BLANK):
                 lines[line] = None
                 size += len(line)
                 if size >= TOGETHER:
@@ -208,20 +216,24 @@ def edit_distance(a: str, b: str, most: int = MAX_EDITS) -> int:
     return min(score, most + 1)
 
 
+def near(a: str, b: str) -> bool:
+    return edit_distance(a, b) <= edits_of(min(len(a), len(b)))
+
+
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of blocks of keys, links (a, b) of lines within MAX_EDITS that connect what all links in the block connect."""
+    """Of blocks of keys, links (a, b) of near lines that connect what all links in the block connect."""
     for table in whole_blocks(batches):
         ids = table.column("id").combine_chunks().dictionary_encode()
         node, text = ids.indices.to_numpy(), table.column("text")
         signature, label = table.column("signature").to_numpy().view(np.uint64), np.arange(len(ids.dictionary))
         a, b = [], []
         for i, j in pairs_in_blocks(table.column("key").to_numpy(), table.column("block").to_numpy(), table.column("filed").to_numpy(zero_copy_only=False)):
-            near = np.bitwise_count(signature[i] ^ signature[j]) <= 2 * MAX_EDITS
-            i, j = i[near], j[near]
+            alike = np.bitwise_count(signature[i] ^ signature[j]) <= 2 * MAX_EDITS
+            i, j = i[alike], j[alike]
             while len(i := i[apart := label[node[i]] != label[node[j]]]):
                 j = j[apart]
                 # Some at a time, so that links found leave fewer to verify.
-                links = [(x, y) for x, y in zip(i[:VERIFIED].tolist(), j[:VERIFIED].tolist()) if edit_distance(text[x].as_py(), text[y].as_py()) <= MAX_EDITS]
+                links = [(x, y) for x, y in zip(i[:VERIFIED].tolist(), j[:VERIFIED].tolist()) if near(text[x].as_py(), text[y].as_py())]
                 i, j = i[VERIFIED:], j[VERIFIED:]
                 if links:
                     x, y = np.array(links).T
@@ -232,7 +244,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_lines(docs: DataFrame) -> DataFrame:
-    """Links (a, b) of the ids of different lines of docs (doc_id, text) within MAX_EDITS edits.
+    """Links (a, b) of the ids of different near lines of docs (doc_id, text).
 
     They connect whatever the links of all pairs connect, and every line with a link is in one; a key gives fewer than
     it has lines.
@@ -251,8 +263,8 @@ def near_lines(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, dropped, n_linked) of each doc_id of docs (doc_id, text).
 
-    Lines are the \\n-separated parts of a text that hold more than ASCII's white space. Lines within MAX_EDITS edits, at
-    least MIN_CHARS long, are linked, and equal lines of any length; classes follow links. Of a class the line with
+    Lines are the \\n-separated parts of a text that hold more than ASCII's white space. Near lines are linked (see above),
+    and equal lines of any length; classes follow links. Of a class the line with
     the least (doc_id, number) stays and the others are dropped: dropped lists their numbers, from 0 and blank lines
     included in the count. n_linked counts the document's lines that are linked to a different text. Null texts have no
     lines. A null doc_id comes before all others; rows with equal ids count as one document, lines with equal numbers

@@ -54,7 +54,8 @@ def brute(docs):
     linked = set()
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if min(len(a), len(b)) >= ld.MIN_CHARS and abs(len(a) - len(b)) <= ld.MAX_EDITS and distance(a, b) <= ld.MAX_EDITS:
+            most = min(ld.MAX_EDITS, min(len(a), len(b)) // ld.CHARS_PER_EDIT)
+            if most and abs(len(a) - len(b)) <= most and distance(a, b) <= most:
                 root[top(a)] = top(b)
                 linked |= {a, b}
     seen, out = {}, {d if d is not None else -1: [0, [], 0] for d, _ in docs}
@@ -73,7 +74,7 @@ def ours(df):
 
 def test_planted_lines(spark):
     rng = random.Random(9)
-    base = ["".join(rng.choice("abcdefg é") for _ in range(rng.randint(15, 70))) for _ in range(60)]
+    base = ["".join(rng.choice("abcdefg é") for _ in range(rng.randint(7, 70))) for _ in range(60)]
     docs = [(d, "\n".join(edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3, 4])) for _ in range(rng.randint(0, 8)))) for d in range(80)]
     want = brute(docs)
     assert sum(m for *_, m in want) > 100
@@ -137,3 +138,17 @@ def test_large_keys_are_dealt_in_blocks(spark, monkeypatch):
             line = edited(rng, line, rng.choice([1, 2, 2, 3]))
     docs = [(i, x) for i, x in enumerate(lines)]
     assert ours(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+
+
+def test_lines_of_ten_to_nineteen_code_points_may_have_one_edit(spark):
+    docs = [(1, "subscribe here!"), (2, "subscribe here."), (3, "subscribe hero?"), (4, "one edit"), (5, "one edi"), (6, "ten chars!"), (7, "ten chars")]
+    assert ours(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+    got = {r.doc_id: r.n_linked for r in ld.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
+
+
+def test_short_lines_all_pairs(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("ab ") for _ in range(rng.randint(9, 22))) for _ in range(12)]
+    docs = [(d, edited(rng, rng.choice(base), rng.choice([0, 1, 1, 2, 3]), "ab ")) for d in range(150)]
+    assert ours(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
