@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -48,19 +49,24 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Tables and folders of this process that are still there, in the order of their making.
-MADE: dict[str, None] = {}
+class _Made(threading.local):
+    """The tables and folders that a thread has made and that are still there."""
+
+    def __init__(self) -> None:
+        self.paths: set[str] = set()
+
+
+MADE = _Made()
 
 
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, under the application's id; removed when this process ends."""
     path = f"{shared_dir(spark)}/plyforge/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    MADE[path] = None
+    MADE.paths.add(path)
 
     def gone():
         try:
-            if path in MADE:
-                delete_path(spark, path)
+            delete_path(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before
             pass
 
@@ -68,12 +74,15 @@ def table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def made() -> set[str]:
+    return set(MADE.paths)
+
+
 def drop_made(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
-    """Delete what was made since MADE held before, but for the tables keep."""
-    kept = before | {getattr(df, "_plyforge_path", None) for df in keep}
-    for path in [p for p in MADE if p not in kept]:
+    """Delete what this thread has made since made() was before, but for the tables keep."""
+    for path in MADE.paths - before - {getattr(df, "_plyforge_path", None) for df in keep}:
         delete_path(spark, path)
-        del MADE[path]
+        MADE.paths.discard(path)
 
 
 def word_pieces(data: bytes, size: int | None = None) -> Iterator[list[bytes]]:
@@ -104,7 +113,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def drop_table(df: DataFrame) -> None:
     if path := getattr(df, "_plyforge_path", None):
         delete_path(df.sparkSession, path)
-        MADE.pop(path, None)
+        MADE.paths.discard(path)
 
 
 def least_hashes(rows: DataFrame, most: int) -> pd.DataFrame:

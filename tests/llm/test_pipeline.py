@@ -36,3 +36,47 @@ def test_stages_take_nulls_and_empty_tables(spark):
             assert out.count() <= table.count()
         last = corpus_pipeline.STAGES[-1][1](spark, table, SF)
         assert last.count() == table.count()
+
+
+def test_run_deletes_what_it_no_longer_needs(spark):
+    from plyforge.llm import common
+
+    before = common.made()
+    other = common.materialize(spark.range(3), "other")
+    corpus_pipeline.run(spark, SF).count()
+    left = sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common.made() - before)
+    # The last stage's input and tables, which its result reads; and what others have made.
+    assert left == ["mixing-sources", "other", "ranges", "shards"]
+    assert other.count() == 3
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster(monkeypatch):
+    import pytest
+
+    from plyforge.llm import common
+
+    class Context:
+        master = "spark://h:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from plyforge.llm import common
+
+    hint = lambda df: df._jdf.queryExecution().analyzed().toString()
+    wide = spark.range(1000).select("id", F.repeat(F.lit("x"), 50_000).alias("text"), F.array(F.lit("a"), F.lit("b")).alias("words"))
+    assert "merge" in hint(common.sized(wide)) and "broadcast" in hint(common.sized(wide.select("id", "words")))
+    assert "broadcast" in hint(common.sized(wide.limit(0)))
