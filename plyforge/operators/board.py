@@ -36,6 +36,11 @@ class Board:
         self.target = None if target == "-" else ord(target[0]) - 97 + 8 * (int(target[1]) - 1)
         self.half, self.full = int(half), int(full)
 
+    def copy(self) -> Board:
+        out = Board.__new__(Board)
+        out.__dict__ = self.__dict__ | {"at": self.at[:], "castling": set(self.castling)}
+        return out
+
     def fen(self) -> str:
         rows = []
         for r in range(7, -1, -1):
@@ -164,6 +169,34 @@ class Board:
         self.white = not self.white
 
 
+class Line:
+    """The moves of one game, each with the position before and after it, kept as far as the next game has the same."""
+
+    def __init__(self) -> None:
+        self.boards, self.fens = [Board()], [_trimmed(Board())]
+        self.made: list[tuple[str, str, str | None, bool]] = []
+
+    def through(self, moves: list[str]) -> list[tuple[str, str, str | None, bool]]:
+        """(move, position before, position after, legal) of each of moves up to the first that can't be made."""
+        same = 0
+        while same < min(len(moves), len(self.made)) and moves[same] == self.made[same][0]:
+            same += 1
+        del self.made[same:], self.boards[same + 1 :], self.fens[same + 1 :]
+        for san in moves[same:] if not self.made or self.made[-1][3] else ():
+            board = self.boards[-1].copy()
+            legal = board.push(san)
+            self.made.append((san, self.fens[-1], _trimmed(board) if legal else None, legal))
+            if not legal:
+                break
+            self.boards.append(board)
+            self.fens.append(self.made[-1][2])
+        return self.made
+
+
+def _trimmed(board: Board) -> str:
+    return board.fen().rsplit(" ", 2)[0]
+
+
 def replayed(games: DataFrame, game: str = "game_id", moves: str = "moves", limit: int | None = None, after: bool = False) -> DataFrame:
     """(game, ply, san, fen, legal): for each move of a game the position before it, without the move counters.
 
@@ -175,18 +208,11 @@ def replayed(games: DataFrame, game: str = "game_id", moves: str = "moves", limi
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                board = Board()
-                for ply, san in enumerate((text or "").split()):
-                    if limit is not None and ply >= limit:
-                        break
-                    fen = None if after else " ".join(board.fen().split()[:-2])
-                    legal = board.push(san)
-                    if after and legal:
-                        fen = " ".join(board.fen().split()[:-2])
-                    out.append((g, ply, san, fen, legal))
-                    if not legal:
-                        break
+            line = Line()
+            # In the order of their texts, games begin as the one before: those moves aren't made again.
+            for g, text in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), key=lambda x: x[1] or ""):
+                for ply, (san, before, next_, legal) in enumerate(line.through((text or "").split()[:limit])):
+                    out.append((g, ply, san, next_ if after else before, legal))
             cols = list(zip(*out)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [game, "ply", "san", "fen", "legal"])
