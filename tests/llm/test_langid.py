@@ -64,3 +64,31 @@ def test_edges(spark, learned):
     assert {r.lang_pred for r in langid.identify(docs, [], None).collect()} == {"und"}
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert langid.train(empty, F.lit(True)) == ([], None)
+
+
+def test_query_equals_the_plain_network(spark):
+    """Every document of a small table: windows of the whole text through the network as written down, not folded."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names, par = langid.train(docs, ~langid.held_out() & F.col("doc_id").isNotNull())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = langid.op10_byte_cnn_language(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        if re.search(r"[^\W\d_]", text) is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif len(text) < 6_000:
+            p = plain_probabilities(par, text)
+            assert r.score == pytest.approx(p.max(), abs=1e-4) and names[int(p.argmax())] == r.lang_pred
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(i, f"l{i % 250:03d}", chr(0x4E00 + i % 250) * 40) for i in range(1000)]
+    names, par = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(True))
+    assert len(names) == 250 and par["dense"].shape[1] == 250
+
+
+def test_sample_is_bounded_and_the_same_on_any_partitioning(spark):
+    rows = spark.range(4000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', 'b') as lang", "concat(if(id % 3 = 0, 'ab ', 'xy '), id) as text")
+    one, two = (langid.train(d, F.lit(True), 50) for d in (rows.coalesce(1), rows.repartition(9)))
+    assert one[0] == two[0] == ["a", "b"] and all((one[1][k] == two[1][k]).all() for k in one[1])

@@ -116,3 +116,71 @@ def test_repeated_windows_with_many_words(seed):
     for _ in range(300):
         w = rng.integers(0, 4, rng.integers(0, 30))
         assert (quality.repeated(w, 4) == quality.repeated(w, 1 << 22)).all()
+
+
+def repeated_words(words):
+    """Whether each word lies in a 3-word window that the text has twice or more."""
+    places = {}
+    for i in range(len(words) - 2):
+        places.setdefault(tuple(words[i : i + 3]), []).append(i)
+    inside = {i + k for at in places.values() if len(at) > 1 for i in at for k in range(3)}
+    return [i in inside for i in range(len(words))]
+
+
+def plainly_kept(text, model):
+    """The verdict and the content share of one text: features line by line, a plain Viterbi table, the share of words."""
+    again = iter(repeated_words(re.findall(r"[^\x20\x09-\x0D]+", text or "")))
+    seen, scores, sizes = set(), [], []
+    share = lambda line, pattern: len(re.findall(pattern, line)) / len(line)
+    for line in (text or "").split("\n"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if not words:
+            continue
+        n = len(words)
+        x = [
+            1, min(1, 8 * share(line, r"[#*$%&|<>]")), bool(re.search(r"[#*$%&|<>]", line)), share(line, "[A-ZÀ-ÖØ-Þ]"), share(line, "[0-9]"), min(1, 8 * share(line, "[!?=_~^]")),
+            n < 4, 4 <= n < 10, line.rstrip()[-1:] not in ".!?:\"'", line in seen, sum(next(again) for _ in words) / n, bool(quality.CUES.search(line)), len(line) > 12 * n,
+        ]
+        seen.add(line)
+        scores.append([sum(a * b for a, b in zip(w, x)) for w in model["emit"]])
+        sizes.append(n)
+    if not sizes:
+        return False, None
+    best, back = [list(scores[0])], []
+    for s in scores[1:]:
+        over = [[best[-1][a] + model["step"][a][b] for a in (0, 1)] for b in (0, 1)]
+        back.append([int(o[1] > o[0]) for o in over])
+        best.append([max(o) + s[b] for b, o in enumerate(over)])
+    label = int(best[-1][1] > best[-1][0])
+    labels = [label]
+    for b in reversed(back):
+        label = b[label]
+        labels.append(label)
+    content = sum(n for n, y in zip(sizes, reversed(labels)) if y == 0) / sum(sizes)
+    return content >= quality.CONTENT_SHARE and not plain(text)[5], content
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_and_stage_equal_a_plain_decode(spark, sf):
+    d = f"/root/testdata/sf{sf}"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect() if len(r.text) < 8_000}
+    want = {i: plainly_kept(t, model) for i, t in texts.items()}
+    got = {r.doc_id: (r.kept, r.content_share) for r in quality.op1_crf_quality(spark, d).collect() if r.doc_id in texts}
+    for i, (kept, content) in want.items():
+        assert got[i][0] == kept and got[i][1] == (content if content is None else pytest.approx(content))
+    stays = {r.doc_id for r in quality.quality_stage(spark, docs, d).select("doc_id").collect()}
+    assert stays & set(texts) == {i for i, (kept, _) in want.items() if kept} and 0 < len(stays) < docs.count()
+
+
+def test_the_sample_is_the_ids_of_the_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from plyforge.llm import common
+
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("h"))
+    want = sorted((r.h, r.id) for r in rows.collect())
+    for k in (1, 10, 700, 6000):
+        got = common.least_hashes(rows.repartition(7), k)
+        assert list(zip(got.h, got.id)) == want[:k]

@@ -46,3 +46,23 @@ def test_parts_change_no_id(monkeypatch):
     monkeypatch.setattr(ts, "TOGETHER", 20)
     for text in ("plain words go on and on " * 9, "x" * 500, "a  b\n\n c d e f g h i j k l m n o p q r s t", "1 2 3 é à ü " * 20, ""):
         assert [i for p in ts.parts(text) for i in encode(p)] == encode(text)
+
+
+def test_vocabularies_that_do_not_fit(tmp_path):
+    import base64
+
+    path = tmp_path / "v"
+    for ids in ([0, 1 << 16], [0, ts.SEPARATOR]):
+        path.write_bytes(b"\n".join(base64.b64encode(bytes([65 + i])) + b" %d" % n for i, n in enumerate(ids)))
+        with pytest.raises(ValueError, match="65,536"):
+            ts.ranks_of(str(path))
+
+
+def test_the_prefix_scan_carries_totals_only(spark, tmp_path):
+    """No window of the plan holds the separators' places."""
+    import re
+
+    (tmp_path / "a").write_bytes(np.array([1, 9, 2] * 50, "<u2").tobytes())
+    plan = ts.scan(spark.createDataFrame([("a",)], "file string"), f"file://{tmp_path}", 9, 16)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if re.search(r"Window \[", line)]
+    assert windows and not any("ends" in line for line in windows)
