@@ -22,6 +22,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Words of a document that are set side by side at a time.
 CHUNK = 4096
+#: Tasks that write what is kept of the items.
+ITEM_TASKS = 32
 #: Bits of the bitmap at most (a power of two), and for each hash in it.
 MOST_BITS, BITS_EACH = 1 << 18, 64
 #: Fixed value: what separates words.
@@ -57,17 +59,18 @@ def _first(k: int) -> list[str]:
     return [f"w{i}" for i in range(1, k + 1)]
 
 
-def class_bounds(sketches: DataFrame) -> dict[int, list[tuple[int, int]]]:
-    """For each shingle length, (least words of a document, largest hash) of its size classes: some dozens of rows."""
-    out: dict[int, list[tuple[int, int]]] = {}
-    for r in sketches.groupBy("k", "size_class").agg(F.min("least_words").alias("least"), F.max("h").alias("bound")).orderBy("k", "size_class").collect():
-        out.setdefault(r.k, []).append((r.least, r.bound))
+def class_bounds(sketches: DataFrame) -> dict[int, list[tuple[int, int, int]]]:
+    """For each shingle length, (least words of a document, largest hash, hashes) of its size classes: some dozens of rows."""
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    found = sketches.groupBy("k", "size_class").agg(F.min("least_words").alias("least"), F.max("h").alias("bound"), F.count("*").alias("n"))
+    for r in sorted(found.collect()):
+        out.setdefault(r.k, []).append((r.least, r.bound, r.n))
     return out
 
 
-def bitmap(sketches: DataFrame) -> list[int]:
+def bitmap(sketches: DataFrame, hashes: int) -> list[int]:
     """A power of two of 64-bit words with the bit of each hash in sketches set (its lowest bits are the place); bounded by MOST_BITS."""
-    n = max(64, min(MOST_BITS, BITS_EACH * sketches.count()))
+    n = max(64, min(MOST_BITS, BITS_EACH * hashes))
     n = 1 << (n - 1).bit_length()
     bits = sketches.groupBy(F.expr(f"shiftright(h & {n - 1}L, 6)").cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63L as int)))").alias("bits"))
     out = [0] * (n // 64)
@@ -89,13 +92,12 @@ def _sketches(item_words: DataFrame, threshold: float, shingle: int) -> DataFram
     )
 
 
-def probes_of(docs: DataFrame, sketches: DataFrame, shingle: int) -> DataFrame:
+def probes_of(docs: DataFrame, bounds: dict[int, list[tuple[int, int, int]]], bits: list[int], shingle: int) -> DataFrame:
     """(doc_id, doc_id_text, n_words, k, h) of the documents' shingles that a sketch can hold; see the module's text."""
-    bounds, bits = class_bounds(sketches), bitmap(sketches)
     rows = _rows(docs, "doc_id", "doc_id").withColumn("n_words", F.size("w"))
     for k, classes in bounds.items():
         most = F.lit(-(1 << 63)).cast("long")
-        for least, bound in classes:
+        for least, bound, _ in classes:
             most = F.greatest(most, F.when(F.col("n_words") >= least, F.lit(bound).cast("long")).otherwise(F.lit(-(1 << 63)).cast("long")))
         rows = rows.withColumn(f"most{k}", most)
     rows = side_by_side(rows, shingle)
@@ -119,27 +121,28 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     are contained in nothing. Rows that repeat an id with another text are judged by themselves, repeated rows once;
     doc_text is the text's hash, which tells them apart. Null ids are kept as null. Other columns are ignored.
     """
-    item_words = materialize(_rows(items, "item_id", "item_id").dropDuplicates(["item_id", "item_id_text"]), "item-words")
-    sketches = materialize(_sketches(item_words, threshold, shingle), "sketches")
-    lengths = sorted(r.k for r in sketches.select("k").distinct().collect()) or [shingle]  # shingle numbers at most
-    probes = probes_of(docs, sketches, shingle) if not sketches.isEmpty() else None
-    if probes is None:
-        found = sketches.select(F.col("h").alias("doc_id"), F.col("h").alias("doc_id_text"), "item_id", "item_id_text")
-    else:
-        found = probes.join(sized(sketches.select("item_id", "item_id_text", "k", "least_words", "h")), ["k", "h"]).where("n_words >= least_words").select("doc_id", "doc_id_text", "item_id", "item_id_text")
+    # Items are few beside documents: some files hold them.
+    item_words = _rows(items, "item_id", "item_id").dropDuplicates(["item_id", "item_id_text"])
+    sketches = materialize(_sketches(item_words, threshold, shingle).coalesce(ITEM_TASKS), "sketches")
+    bounds = class_bounds(sketches)
+    if not bounds:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, doc_text long, n_item long, n_shared long")
+    bits = bitmap(sketches, sum(n for classes in bounds.values() for *_, n in classes))
+    probes = probes_of(docs, bounds, bits, shingle)
+    found = probes.join(sized(sketches.drop("size_class")), ["k", "h"]).where("n_words >= least_words").select("doc_id", "doc_id_text", "item_id", "item_id_text")
     candidates = materialize(found.distinct(), "candidates")
 
     # Only the candidates' documents are cut into words again.
-    which = materialize(candidates.select(F.col("doc_id").alias("__item_doc"), F.col("doc_id_text").alias("__item_text")).distinct(), "candidate-documents")
+    which = candidates.select(F.col("doc_id").alias("__item_doc"), F.col("doc_id_text").alias("__item_text")).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__item_doc")) & (_text_hash(docs["text"]) == F.col("__item_text"))
     again = side_by_side(_rows(docs.join(sized(which), same, "left_semi"), "doc_id", "doc_id"), shingle)
-    strings = F.array(*(F.when(F.col(f"w{k}").isNotNull(), F.concat_ws(" ", *_first(k))) for k in lengths))
+    strings = F.array(*(F.when(F.col(f"w{k}").isNotNull(), F.concat_ws(" ", *_first(k))) for k in bounds))
     doc_shingles = again.select("doc_id", "doc_id_text", F.explode(strings).alias("s")).where("s is not null")
     all_ = F.expr(f"array_distinct(transform(sequence(1, greatest(size(w) - {shingle - 1}, 1)), i -> array_join(slice(w, i, {shingle}), ' ')))")
     item_shingles = item_words.select("item_id", "item_id_text", all_.alias("all")).select("item_id", "item_id_text", F.size("all").cast("long").alias("n_item"), F.explode("all").alias("s"))
     pair = ["doc_id", "doc_id_text", "item_id", "item_id_text"]
     # Only shingles that some item has are shuffled; the distinct takes repeats in a text and repeated rows together.
-    matches = doc_shingles.join(sized(materialize(item_shingles, "items")), "s").select(*pair, "n_item", "s").distinct()
+    matches = doc_shingles.join(sized(materialize(item_shingles.coalesce(ITEM_TASKS), "items")), "s").select(*pair, "n_item", "s").distinct()
     shared = matches.groupBy(*pair).agg(F.max("n_item").alias("n_item"), F.count("*").alias("n_shared"))
     # Pairs that share shingles but that the sketches didn't propose are below the threshold by construction.
     c = candidates.select(*(F.col(x).alias(f"c_{x}") for x in candidates.columns))

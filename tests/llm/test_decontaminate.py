@@ -86,7 +86,8 @@ def test_short_items_do_not_open_the_search_for_long_ones(spark):
     a, b = sketch(long), sketch([*long, *short])
     bounds = decontaminate.class_bounds(b)
     assert decontaminate.class_bounds(a)[5] == [x for x in bounds[5] if x[0] > 100]  # the long items' class is as it was
-    few, more = (decontaminate.probes_of(docs, s, 5).count() for s in (a, b))
+    probes = lambda s: decontaminate.probes_of(docs, decontaminate.class_bounds(s), decontaminate.bitmap(s, s.count()), 5)
+    few, more = (probes(s).count() for s in (a, b))
     assert few < 20 * 3000 / 40 and more < 20 * 3000 / 20
 
 
