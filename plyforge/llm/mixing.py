@@ -38,8 +38,13 @@ def blocks_in_cycle(weights: dict[str, float], cycle: int = CYCLE) -> dict[str,
     spare = cycle - sum(counts.values())
     for s in by_rest[: max(0, spare)]:
         counts[s] += 1
-    while sum(counts.values()) > cycle:  # the floor of one took too many: the largest give them back
-        counts[max(names, key=lambda s: (counts[s] - exact[s] if counts[s] > 1 else float("-inf"), s))] -= 1
+    # The floor of one took too many: those furthest over their share give them back, the last name first among equals.
+    over = [(exact[s] - counts[s], i, s) for i, s in enumerate(reversed(names)) if counts[s] > 1]
+    heapq.heapify(over)
+    for _ in range(sum(counts.values()) - cycle):
+        _, i, s = over[0]
+        counts[s] -= 1
+        heapq.heapreplace(over, (exact[s] - counts[s], i, s)) if counts[s] > 1 else heapq.heappop(over)
     return counts
 
 

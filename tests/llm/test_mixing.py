@@ -140,3 +140,18 @@ def test_stage_writes_rows_in_order(spark):
         place[r.doc_id] = min(r.position, place.get(r.doc_id, 1 << 60))
     order = [place[r.doc_id] for r in out.selectExpr("doc_id", "_metadata.file_name as f", "_metadata.row_index as i").orderBy("f", "i").collect()]
     assert order == sorted(order)
+
+
+def test_counts_of_many_sources():
+    """A fifth of them over the floor by little: giving blocks back is no search of all sources for each block."""
+    rng = random.Random(3)
+    weights = {f"h{i:06d}": rng.random() ** 4 + 1e-4 for i in range(50_000)}
+    counts = mixing.blocks_in_cycle(weights)
+    total = sum(weights.values())
+    assert sum(counts.values()) == 200_000 and min(counts.values()) == 1
+    assert all(c <= weights[s] / total * 200_000 + 1 for s, c in counts.items() if c > 1)
+    slots = mixing.pfair(counts)
+    at = dict.fromkeys(counts, 0)
+    for t, (s, k) in enumerate(slots):
+        assert k == at[s] and k * 200_000 // counts[s] <= t < -(-(k + 1) * 200_000 // counts[s])
+        at[s] += 1
