@@ -852,5 +852,5 @@ def skew_board_positions(spark, d):
 @query()
 def novel_board_positions(spark, d):
     g = openings(spark, d)
-    train, test = (g.where(f"o_orderkey % 10 {c}").select("o_orderkey") for c in ("<> 1", "= 1"))
+    train, test = (g.where(f"o_orderkey % 10 {c}") for c in ("<> 1", "= 1"))
     return board.novel_plies(g, train, test, "o_orderkey", after=True).select("o_orderkey", "n", joined(F.col("plies")).alias("plies"))

@@ -1,5 +1,8 @@
 """The query novel_board_positions against plain sets."""
 
+import pytest
+
+from plyforge.operators import board as boards
 from plyforge.operators.board import Board, novel_plies
 from plyforge.plans import catalog
 from tests.conftest import SF
@@ -37,6 +40,48 @@ def test_positions_after_the_moves(spark):
     assert got == novel(games, [1], [2, 3, 4, 5, 6, 7, 8]) == {(2, 2, (2, 3)), (3, 1, (3,)), (5, 1, (2,)), (6, 2, (0, 1))}
 
 
+@pytest.mark.parametrize("after", [True, False])
+@pytest.mark.parametrize("flush", [1, 3, 1 << 16])
+@pytest.mark.parametrize("told", ["game_id", "*"])
+def test_sides_by_id_or_with_moves(spark, monkeypatch, told, flush, after):
+    """Transpositions, equal texts, a game on both sides, games of no move and of no text; whatever a task holds at once."""
+    games = {1: "e4 e5 Nf3 Nc6", 2: "Nf3 Nc6 e4 e5 Bb5", 3: "e4 e5 Nf3 Nc6 Bc4", 4: "e4 e5 Nf3 Nc6 Bc4", 5: "Nf3 Nf6 Ng1 Ng8 Nf3 Ke3", 6: "Ke3", 7: "", 8: None, 9: "d4 d5", 10: "d4 d5 c4 Ke3"}
+    train, test = [1, 6, 8, 9], [2, 3, 4, 5, 6, 7, 8, 9, 10]
+    monkeypatch.setattr(boards, "FLUSH", flush)
+    frame = spark.createDataFrame(list(games.items()), "game_id long, moves string").coalesce(1)
+    side = lambda ids: frame.where(frame.game_id.isin(ids)).select(told)
+    got = {(r.game_id, r.n, tuple(r.plies)) for r in novel_plies(frame, side(train), side(test), after=after).collect()}
+    if after:
+        assert got == novel({g: text or "" for g, text in games.items()}, train, test)
+    else:
+        assert got == {(2, 4, (1, 2, 3, 4)), (3, 1, (4,)), (4, 1, (4,)), (5, 4, (1, 2, 3, 5)), (10, 2, (2, 3))}
+
+
+def shuffled(spark, after):
+    """(last stage, records that the stages after the one given have shuffled)."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    stages = [found.apply(i) for i in range(found.size())]
+    return max((s.stageId() for s in stages), default=-1), sum(s.shuffleWriteRecords() for s in stages if s.stageId() > after)
+
+
+def test_plies_are_not_shuffled_one_by_one(spark):
+    """A task's memory is not that of all plies: shared positions travel once a batch, and novel plies without theirs."""
+    n, text = 4000, catalog.OPENINGS[0]
+    frame = spark.createDataFrame([(g, text + " h3" * (g % 2)) for g in range(n)], "game_id long, moves string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last, _ = shuffled(spark, -1)
+        rows = novel_plies(frame, frame.where("game_id % 2 = 0"), frame.where("game_id % 2 = 1"), after=True).collect()
+        _, records = shuffled(spark, last)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert {(r.n, tuple(r.plies)) for r in rows} == {(1, (len(text.split()),))} and len(rows) == n // 2
+    assert n // 2 <= records < 2 * n  # of 16 and 17 plies a game
+
+
 def test_query_equals_plain_sets(spark):
     games = {r.o_orderkey: r.moves for r in catalog.openings(spark, SF).collect()}
     want = novel(games, [g for g in games if g % 10 != 1], [g for g in games if g % 10 == 1])
