@@ -125,6 +125,25 @@ def padded(df: DataFrame, ids: str, order: list[str], batch: int, group: list[st
     return ranked.withColumn("width", width.cast("long")).withColumn(ids, filled)
 
 
+def _mass(i: Column, n: Column, skew: int) -> Column:
+    """The summed weights of the rows 0 to i of n."""
+    least = 1.0 / (skew * (n + 1))
+    rise = (1.0 / (n + 1) - least) * (2.0 / n)
+    return (i + 1) * least + rise * (i * (i + 1) / 2.0)
+
+
+def _draw(group: str, seed: int) -> Column:
+    return F.conv(F.substring(random_key(seed, group), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def skewed_places(group: str, n: Column, most: int, seed: int, skew: int = 4) -> Column:
+    """The places i, as an array, of the rows that skewed_prefix takes of a group of n rows, where a row stands for the group."""
+    n = n.cast("long")
+    places = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    # Drawn once for a group: what stands inside a filter is computed for each of its elements.
+    return F.flatten(F.transform(F.array(_draw(group, seed)), lambda d: F.slice(F.filter(places, lambda i: d < _mass(i, n, skew)), 1, most)))
+
+
 def skewed_prefix(df: DataFrame, group: str, order: list[str], most: int, seed: int, skew: int = 4) -> DataFrame:
     """For each group up to most rows from a random place on; later places are likelier, and a group may give none.
 
@@ -136,9 +155,5 @@ def skewed_prefix(df: DataFrame, group: str, order: list[str], most: int, seed:
     w = Window.partitionBy(group).orderBy(*order)
     n = F.count("*").over(Window.partitionBy(group))
     ranked = df.withColumn("__i", (F.row_number().over(w) - 1).cast("long")).withColumn("__n", n)
-    least = 1.0 / (skew * (F.col("__n") + 1))
-    rise = (1.0 / (F.col("__n") + 1) - least) * (2.0 / F.col("__n"))
-    mass = (F.col("__i") + 1) * least + rise * (F.col("__i") * (F.col("__i") + 1) / 2.0)
-    draw = F.conv(F.substring(random_key(seed, group), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    fired = ranked.where(draw < mass).withColumn("k", (F.row_number().over(w) - 1).cast("long")).where(F.col("k") < most)
+    fired = ranked.where(_draw(group, seed) < _mass(F.col("__i"), F.col("__n"), skew)).withColumn("k", (F.row_number().over(w) - 1).cast("long")).where(F.col("k") < most)
     return (fired if "i" in df.columns else fired.withColumn("i", F.col("__i"))).drop("__n", "__i")

@@ -95,9 +95,14 @@ def write_mined(spark: SparkSession, plies: DataFrame, game: str, out: str, thre
 
 
 def sampled_positions(games: DataFrame, game: str, most: int = 10, seed: int = 42, skew: int = 4) -> DataFrame:
-    """(game, ply, fen, k): up to most positions of each replayed game from a random place on, later places being likelier."""
-    plies = board.replayed(games, game, "moves").where("legal").select(game, "ply", "fen")
-    return sampling.skewed_prefix(plies, game, ["ply"], most, seed, skew)
+    """(game, ply, fen, k, i): up to most positions of each replayed game from a random place on, later places being likelier.
+
+    They are sampling.skewed_prefix of the plies; as a game's plies leave its replay as one row, nothing is shuffled.
+    Each row of games is a game, also where its id is another's.
+    """
+    taken = board.lines(games, game).withColumn("__at", sampling.skewed_places(game, F.size("fens"), most, seed, skew))
+    at = F.transform("__at", lambda i, k: F.struct(i.alias("ply"), F.get("fens", i.cast("int")).alias("fen"), k.cast("long").alias("k"), i.alias("i")))
+    return taken.select(game, F.inline(at))
 
 
 def positions(games: DataFrame, game: str, per_game: int = 20) -> DataFrame:

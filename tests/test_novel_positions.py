@@ -3,8 +3,9 @@
 import pytest
 
 from plyforge.operators import board as boards
+from plyforge.operators import sampling
 from plyforge.operators.board import Board, novel_plies
-from plyforge.plans import catalog
+from plyforge.plans import catalog, jobs
 from tests.conftest import SF
 
 
@@ -124,3 +125,15 @@ def test_sampled_positions_equal_a_plain_draw(spark):
             want |= {(r.o_orderkey, i, fens[i], i - first) for i in range(first, min(n, first + 4))}
     got = {(r.o_orderkey, r.ply, r.fen, r.k) for r in catalog.QUERIES["skew_board_positions"](spark, SF).collect()}
     assert got == want and len({g for g, *_ in got}) > 50
+
+
+@pytest.mark.parametrize(("most", "seed", "skew"), [(4, 7, 4), (1, 1, 2), (50, 3, 1)])
+def test_sampled_positions_without_a_shuffle(spark, most, seed, skew):
+    """The rows that skewed_prefix takes of all plies, though no ply leaves the task that replays its game."""
+    games = spark.createDataFrame([(g, text) for g, text in enumerate([*catalog.OPENINGS * 30, "Ke3", "", None, "e4 Ke3", "e4"])], "game_id long, moves string")
+    last, _ = shuffled(spark, -1)
+    got = jobs.sampled_positions(games, "game_id", most, seed, skew)
+    rows = got.collect()
+    assert shuffled(spark, last)[1] == 0
+    want = sampling.skewed_prefix(boards.replayed(games).where("legal").select("game_id", "ply", "fen"), "game_id", ["ply"], most, seed, skew)
+    assert got.dtypes == want.dtypes and len(rows) > 100 and sorted(rows) == sorted(want.collect())
